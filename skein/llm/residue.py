@@ -1,0 +1,196 @@
+"""Problem 1: template residue, filler, error pages and demands for scripts.
+
+Method: placeholder detectors read title and text; a response whose few sentences are
+messages instead of content is judged together with how address slug, title and body fit
+each other, and low-information bodies that one host serves under several slugs count as
+evidence even where no detector knows their wording.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skein.llm.common import host_of
+
+#: A page with so many sentences of its own is content, whatever else it shows.
+REAL_SENTENCES = 3
+REAL_LETTERS = 420
+#: A low-information body must come under so many slugs of one host to count by itself.
+SAME_BODY_SLUGS = 5
+
+# Forms of open template slots.
+SLOT = re.compile(
+    r"\{\{[^{}\n]{1,60}\}\}|[$#]\{[^{}\n]{1,60}\}|<%[^%\n]{1,60}%>|\{%[^%\n]{1,60}%\}|%%\w[\w.]{1,40}%%|@@\w[\w.]{1,40}@@|__[A-Z][A-Z0-9_]{2,40}__"
+    r"|\[\[[^\[\]\n]{1,60}\]\]|\[(?:insert|your|enter|add|page|site|company|date|name|title|text)\b[^\]\n]{0,40}\]|\[[A-Z][A-Z ]{5,40}\]",
+    re.I,
+)
+UPPER_ONLY = re.compile(r"\[[A-Z][A-Z ]{5,40}\]|__[A-Z][A-Z0-9_]{2,40}__")
+# Words with which a text speaks about slots instead of leaving one open.
+ABOUT = re.compile(
+    r"\b(?:slot|written as|is read by|variable|placeholder|syntax|template (?:engine|language)|escape|literal|"
+    r"écrire|écrit|modèle|gabarit|syntaxe|hueco|se escribe|plantilla|sintaxis|vorlage|schreib\w*|platzhalter|"
+    r"modelo|escreve\w*|lacuna|szablon\w*|pisze|zapis\w*|шаблон\w*|пишет\w*|переменн\w*)|テンプレート|変数|書く",
+    re.I,
+)
+EMPTY_FIELD = re.compile(r"(?:^|(?<=[\n.!?] )|(?<=\n)|(?<= ))[^\W\d_][\w ]{1,24}: ?(?:undefined|null|NaN|\[object \w+\])(?=\s|$|[.,;])", re.M)
+# Filler of site builders and the usual pseudo-Latin.
+FILLER = re.compile(
+    r"^(?:your (?:text|content) (?:goes )?here|text goes here|add (?:a |your )?(?:caption|text|title|description)(?: here)?|(?:this is )?(?:a )?(?:sample|demo|example|placeholder) (?:page|heading|text|post|title)(?: created by .*)?"
+    r"|item one, item two(?:, item three)?|(?:text ){2,}text|(?:replace|edit|change) this (?:paragraph|text|block)\b.*|describe your (?:service|product|company)\b.*|(?:todo|tbd|fixme)\b[: ].*|new page \d+|untitled(?: page| document)?(?: \d+)?"
+    r"|write your (?:text|story)\b.*|coming soon|under construction)[.!…]?$",
+    re.I,
+)
+LATIN = frozenset(
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim laborum "
+    "orna dolem velus nostra vidunt dapis quisor curabo mattis etiam semper amor labora consel venit sitat nullo augur magnum ponit fugis tempora ullam".split()
+)
+# Wordings of error messages and of demands for scripts.
+MESSAGE = re.compile(
+    r"^(?:(?:error|http|status|erreur|fehler)[ :]*)?[1-5]\d\d(?: [\w ]{3,30})?$|^(?:oops|hmm|sorry|just a moment|something went wrong|désolé|lo sentimos|entschuldigung|ups)[!.… ]*$"
+    r"|\b(?:page|file|site|article|listing|document|product|content|item|job|offer)s?\b[^.]{0,40}(?:not (?:be )?found|(?:does not|doesn't|no longer) exists?|has (?:moved|expired)|(?:been|be) removed|not available|unavailable)"
+    r"|\b(?:access|permission|request) (?:denied|forbidden)|do(?:es)? not have permission|not authori[sz]ed|\b(?:service|site|server|page)\b[^.]{0,30}\bunavailable|bad gateway|gateway time-?out|internal server error|too many requests"
+    r"|server did(?: not|n't) (?:answer|respond)|unexpected error|uncaught exception|\bfatal(?: error)?:|stack trace|connection (?:failed|refused|timed out)|could(?: not|n't) (?:find anything|be (?:found|displayed|loaded))|link may be broken|try again (?:later|in \d+)|go back to the start page"
+    r"|(?:enable|activate|allow|switch on|turn on|requires?|needs?|without|disabled?|run) (?:java)?scripts?\b|(?:java)?scripts? (?:is|are) (?:disabled|required|allowed|blocked|off|not (?:enabled|supported))|needs scripts|not run scripts|noscript|client-side scripting|checking your browser|(?:are|verify that you are|making sure that you are) (?:a )?human"
+    r"|page (?:introuvable|non trouvée)|n[’']existe plus|accès refusé|serveur n[’']a pas répondu|(?:activer|activez) javascript|exige l[’']exécution de scripts|vérification du navigateur|erreur (?:interne|inattendue)|retour à l[’']accueil|service indisponible"
+    r"|seite nicht gefunden|seite gibt es nicht|zugriff (?:auf [^ ]+ )?verweigert|aktivieren sie javascript|ohne (?:java)?skripte|lässt sich diese seite nicht anzeigen|browser wird geprüft|zurzeit (?:überlastet|nicht erreichbar)|nicht verfügbar\.?$|^zur startseite|interner fehler"
+    r"|página no encontrada|ya no existe|no tiene permiso|acceso denegado|servidor tardó|(?:active|habilite) javascript|necesita ejecutar scripts|comprobando su navegador|volver al inicio|error (?:interno|inesperado)|servicio no disponible"
+    r"|página não encontrada|acesso negado|(?:ative|habilite) o javascript|strona nie (?:istnieje|została znaleziona)|nie znaleziono strony|odmowa dostępu|włącz javascript|страница не найдена|доступ запрещ[её]н|включите javascript|сервер не отвечает|ページが見つかりません|アクセスが拒否|javascript(?:を|が)(?:有効|無効)",
+    re.I,
+)
+# Stems one of which every wording above contains; they are looked up before the patterns run.
+STEMS = (
+    "error", "http", "status", "erreur", "fehler", "oops", "hmm", "sorry", "moment", "wrong", "désolé", "lo sentimos", "entschuld", "ups", "not found", "be found", "exist",
+    "moved", "expired", "removed", "available", "denied", "forbidden", "permission", "authori", "gateway", "too many", "server", "exception", "fatal", "stack trace", "connection",
+    "could", "link may", "try again", "go back", "script", "human", "browser", "introuvable", "trouvée", "refusé", "serveur", "accueil", "indisponible", "navigateur", "gefunden",
+    "gibt es nicht", "verweigert", "skript", "anzeigen", "überlastet", "erreichbar", "verfügbar", "startseite", "encontrada", "ya no", "permiso", "denegado", "servidor", "navegador",
+    "inicio", "disponible", "negado", "nie ", "nie\n", "odmowa", "страница", "доступ", "сервер", "ページ", "アクセス",
+)
+NOISE_STEMS = ("request id", "token", "ray ", "ref", "réf", "trace", "©", "copyright", "rights", "cookie", "newsletter", "abonnés", "free", "trading name")
+SLOT_SIGNS = ("{", "<%", "%%", "@@", "__", "[")
+EMPTY_SIGNS = ("undefined", "null", "NaN", "[object")
+NOISE = re.compile(r"(?:request id|session token|ray|reference|réf|ref|trace)\.?:? [0-9a-f]{6,}|©|copyright|\ball rights reserved|cookies?\b|newsletter|abonnés|sign up free|trading name", re.I)
+SENTENCE = re.compile(r"\n+|(?<=[.!?…。])[ ]+(?=\S)")
+QUOTE_PAIR = re.compile(r'["“„«`‘][^"“”„«»`’\n]{2,80}["”“»`’]')
+MASK = re.compile(r"[0-9a-f]{8,}|/[\w\-/]+|\d+(?:\.\d+)?")
+TERM = re.compile(r"[^\W\d_]{4,}")
+
+
+def _says(sentence: str, stems: tuple[str, ...]) -> bool:
+    low = sentence.lower()
+    return low[0].isdigit() or any(k in low for k in stems)
+
+
+def open_slot(text: str) -> bool:
+    """Whether a slot stands open in text: one that no quote holds and no sentence explains."""
+    if not any(k in text for k in SLOT_SIGNS):
+        return False
+    for m in SLOT.finditer(text):
+        if m.group()[0] in "[_" and m.group()[:2] != "[[" and m.group().isupper() is False and UPPER_ONLY.fullmatch(m.group()) is None and not re.match(r"\[(?:insert|your|enter|add|page|site|company|date|name|title|text)\b", m.group(), re.I):
+            continue
+        around = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
+        if around[0] in set("`'\"“‘«") and around[1] in set("`'\"”’»") and around[0]:
+            continue
+        a = max(text.rfind("\n", 0, m.start()), text.rfind(". ", 0, m.start())) + 1
+        b = min(x for x in (text.find("\n", m.end()), text.find(". ", m.end()), len(text)) if x >= 0)
+        if ABOUT.search(SLOT.sub(" ", text[a:b])):
+            continue
+        return True
+    return False
+
+
+def pseudo_latin(text: str) -> bool:
+    """Whether a run of pseudo-Latin filler stands in text: eight words in a row, nearly all of its vocabulary."""
+    if len(LATIN.intersection(text.lower().split())) < 5:
+        return False
+    for line in text.split("\n"):
+        words = [w.lower() for w in TERM.findall(line)]
+        hits = [w in LATIN for w in words]
+        if sum(hits) >= 8 and any(sum(hits[i : i + 8]) >= 7 for i in range(len(hits) - 7)):
+            return True
+    return False
+
+
+def judge(url: str | None, title: str | None, text: str | None) -> tuple[str | None, bool, str, str]:
+    """(what was detected or None, low information, masked body, slug) of one response.
+
+    NULL or empty texts and titles detect nothing by themselves.
+    """
+    text, title = text or "", title or ""
+    slug = (re.sub(r"[?#].*", "", url or "").rstrip("/").rpartition("/")[2]).lower()
+    if open_slot(title) or open_slot(text):
+        return "slot", False, "", slug
+    if any(k in text for k in EMPTY_SIGNS) and EMPTY_FIELD.search(text):
+        return "empty field", False, "", slug
+    if not text.strip():
+        return None, False, "", slug
+    parts = [s.strip() for s in SENTENCE.split(text) if s.strip()]
+    if any(len(p) < 120 and FILLER.match(p) for p in parts):
+        return "filler", False, "", slug
+    if pseudo_latin(text):
+        return "pseudo latin", False, "", slug
+    said, real, letters, low = 0, 0, 0, True
+    body = []
+    for p in parts:
+        bare = re.sub(r"^[^»>/]{1,60}[»>/] .*[»>/] ", "", p) if len(p) <= 300 else p
+        if len(bare) <= 110 and _says(bare, STEMS) and MESSAGE.search(QUOTE_PAIR.sub(" ", bare)):
+            said += 1
+        elif _says(p, NOISE_STEMS) and NOISE.search(p):
+            continue
+        else:
+            letters += sum(map(str.isalpha, p))
+            real += len(p) >= 40 and p[-1] in ".!?…”»“\"。"
+            low = real < REAL_SENTENCES and letters < REAL_LETTERS
+            if not low:
+                return None, False, "", slug
+        body.append(p)
+    masked = MASK.sub("#", " ".join(body))
+    return ("message" if said else None), True, masked, slug
+
+
+def _fits(title: str, text: str, slug: str) -> bool:
+    """Whether title or slug share terms with the body."""
+    body = set(map(str.lower, TERM.findall(text)))
+    return bool(body & set(map(str.lower, TERM.findall(title)))) or bool(body & set(TERM.findall(slug)))
+
+
+def judged(pages: DataFrame) -> DataFrame:
+    """(result_id, host, kind, suspect, body, slug) for every row; body is a 64-bit key of the masked text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, hosts, urls, titles, texts, codes = (c.to_pylist() for c in b.columns)
+            out = []
+            for u, t, x, code in zip(urls, titles, texts, codes, strict=True):
+                kind, low, masked, slug = judge(u, t, x)
+                odd = low and kind is None and bool(masked) and (not _fits(t or "", x or "", slug) or (code or 200) >= 400)
+                out.append((kind, odd, masked if odd else None, slug))
+            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["result_id", "host", "kind", "suspect", "body", "slug"])
+
+    cols = pages.select("result_id", host_of(F.col("final_url")).alias("host"), "final_url", "title", "text", F.col("status_code").cast("int").alias("code"))
+    return cols.mapInArrow(run, "result_id bigint, host string, kind string, suspect boolean, body string, slug string").withColumn("body", F.xxhash64("body"))
+
+
+def residue(pages: DataFrame, same_body_slugs: int = SAME_BODY_SLUGS) -> DataFrame:
+    """(result_id, kind): the responses to leave out and why.
+
+    kind is slot, empty field, filler, pseudo latin, message, or repeated body: a
+    low-information text that fits neither its title nor its slug (or carries an error
+    status) and that its host serves under at least same_body_slugs slugs. Repeated rows
+    come out once.
+    """
+    each = judged(pages)
+    sure = each.where("kind is not null").select("result_id", "kind")
+    odd = each.where("kind is null and suspect and host is not null").select("result_id", "host", "body", "slug")
+    bodies = odd.groupBy("host", "body").agg(F.count_distinct("slug").alias("slugs")).where(F.col("slugs") >= same_body_slugs)
+    return sure.unionByName(odd.join(bodies, ["host", "body"]).select("result_id", F.lit("repeated body").alias("kind"))).dropDuplicates(["result_id"])
+
+
+def clean_pages(pages: DataFrame, same_body_slugs: int = SAME_BODY_SLUGS) -> DataFrame:
+    """The pages without those that residue() finds."""
+    return pages.join(residue(pages, same_body_slugs).select("result_id"), "result_id", "left_anti")
