@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import encoding, glyphs, lines, mix, residue, tokens
+from skein.llm import body, encoding, glyphs, lines, mix, neardup, residue, tokens
 from skein.llm.common import table
 
 
@@ -31,6 +31,14 @@ def p2_learned(spark: SparkSession, d: str) -> DataFrame:
     return encoding.learn(table(spark, d, "scrape_results"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.similar_pairs(table(spark, d, "scrape_results"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.groups(table(spark, d, "scrape_results"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lines.boilerplate_lines(table(spark, d, "scrape_results")).select("result_id", "line_no")
 
@@ -47,6 +55,14 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return glyphs.normalized(table(spark, d, "scrape_results"), "result_id", "text")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return body.surroundings(table(spark, d, "scrape_results"))
+
+
+def p6_body(spark: SparkSession, d: str) -> DataFrame:
+    return body.main_text(table(spark, d, "scrape_results"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.token_ids(table(spark, d, "documents"))
 
@@ -94,12 +110,15 @@ SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM m a JOIN m b ON
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_kinds": p1_kinds,
     "p2_found": p2_found, "p2_repaired": p2_repaired, "p2_learned": p2_learned,
+    "p3_found": p3_found, "p3_groups": p3_groups,
     "p4_found": p4_found, "p4_clean": p4_clean,
     "p5_found": p5_found, "p5_forms": p5_forms,
+    "p6_found": p6_found, "p6_body": p6_body,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix, "p8_shares": p8_shares,
 }
 
 SQL: dict[str, str] = {
+    "p3_found": _WORDS,
     "p4_found": _KEYED + "SELECT result_id, line_no FROM l JOIN hot ON l.site = hot.site AND l.k = hot.k",
 }
