@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import body, encoding, glyphs, lines, mix, neardup, residue, tokens
+from skein.llm import body, encoding, glyphs, lines, mix, neardup, residue, spans, tokens
 from skein.llm.common import table
 
 
@@ -75,6 +75,14 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.mix(table(spark, d, "documents"), table(spark, d, "mix_plans"))[1]
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_pairs(table(spark, d, "documents"))
+
+
+def p9_shared(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_parts(table(spark, d, "documents"))
+
+
 _KEYED = r"""
 WITH p AS (
   SELECT result_id, regexp_replace(lower(regexp_extract(final_url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '') AS site,
@@ -116,9 +124,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found, "p6_body": p6_body,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix, "p8_shares": p8_shares,
+    "p9_found": p9_found, "p9_shared": p9_shared,
 }
 
 SQL: dict[str, str] = {
     "p3_found": _WORDS,
+    "p9_found": _SPANS,
     "p4_found": _KEYED + "SELECT result_id, line_no FROM l JOIN hot ON l.site = hot.site AND l.k = hot.k",
 }
