@@ -28,7 +28,7 @@ def p2_repaired(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_learned(spark: SparkSession, d: str) -> DataFrame:
-    return encoding.learn(table(spark, d, "scrape_results"))
+    return encoding.learn(encoding.words(table(spark, d, "scrape_results"), ("text", "title")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

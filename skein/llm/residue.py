@@ -9,13 +9,15 @@ evidence even where no detector knows their wording.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import host_of
+from skein.llm.common import host_of, materialize
+from skein.llm.glyphs import LOOKALIKES
 
 #: A page with so many sentences of its own is content, whatever else it shows.
 REAL_SENTENCES = 3
@@ -26,15 +28,15 @@ SAME_BODY_SLUGS = 5
 # Forms of open template slots.
 SLOT = re.compile(
     r"\{\{[^{}\n]{1,60}\}\}|[$#]\{[^{}\n]{1,60}\}|<%[^%\n]{1,60}%>|\{%[^%\n]{1,60}%\}|%%\w[\w.]{1,40}%%|@@\w[\w.]{1,40}@@|__[A-Z][A-Z0-9_]{2,40}__"
-    r"|\[\[[^\[\]\n]{1,60}\]\]|\[(?:insert|your|enter|add|page|site|company|date|name|title|text)\b[^\]\n]{0,40}\]|\[[A-Z][A-Z ]{5,40}\]",
+    r"|\[\[[^\[\]\n]{1,60}\]\]|\[(?:insert|your|enter|add|page|site|company|date|name|title|text|phone|e-?mail|address|price|city)\b[^\]\n]{0,40}\]|\[[A-Z][A-Z ]{5,40}\]",
     re.I,
 )
 UPPER_ONLY = re.compile(r"\[[A-Z][A-Z ]{5,40}\]|__[A-Z][A-Z0-9_]{2,40}__")
 # Words with which a text speaks about slots instead of leaving one open.
 ABOUT = re.compile(
-    r"\b(?:slot|written as|is read by|variable|placeholder|syntax|template (?:engine|language)|escape|literal|"
-    r"écrire|écrit|modèle|gabarit|syntaxe|hueco|se escribe|plantilla|sintaxis|vorlage|schreib\w*|platzhalter|"
-    r"modelo|escreve\w*|lacuna|szablon\w*|pisze|zapis\w*|шаблон\w*|пишет\w*|переменн\w*)|テンプレート|変数|書く",
+    r"\bslot\b|written as|is read by|placeholder|template (?:engine|language)|"
+    r"écri(?:re|t)\b|expliqu\w* comment|dans un mod|gabarit|hueco|se escribe|plantilla|vorlage|wie man|platzhalter|"
+    r"escreve|lacuna|szablon|pisze się|шаблон|пишет|переменн|テンプレート|変数|書く",
     re.I,
 )
 EMPTY_FIELD = re.compile(r"(?:^|(?<=[\n.!?] )|(?<=\n)|(?<= ))[^\W\d_][\w ]{1,24}: ?(?:undefined|null|NaN|\[object \w+\])(?=\s|$|[.,;])", re.M)
@@ -74,9 +76,12 @@ NOISE_STEMS = ("request id", "token", "ray ", "ref", "réf", "trace", "©", "cop
 SLOT_SIGNS = ("{", "<%", "%%", "@@", "__", "[")
 EMPTY_SIGNS = ("undefined", "null", "NaN", "[object")
 NOISE = re.compile(r"(?:request id|session token|ray|reference|réf|ref|trace)\.?:? [0-9a-f]{6,}|©|copyright|\ball rights reserved|cookies?\b|newsletter|abonnés|sign up free|trading name", re.I)
+ID_TAIL = re.compile(r"\W*\b(?:request id|session token|ray|reference|réf|ref|trace)\.?:? [0-9a-f]{6,}\W*$", re.I)
 SENTENCE = re.compile(r"\n+|(?<=[.!?…。])[ ]+(?=\S)")
 QUOTE_PAIR = re.compile(r'["“„«`‘][^"“”„«»`’\n]{2,80}["”“»`’]')
 MASK = re.compile(r"[0-9a-f]{8,}|/[\w\-/]+|\d+(?:\.\d+)?")
+#: Look-alike letters to Latin, invisible characters to nothing.
+_PLAIN = str.maketrans({**LOOKALIKES, **dict.fromkeys("\u00ad\u200b\u200c\u200d\u2060\ufeff", "")})
 TERM = re.compile(r"[^\W\d_]{4,}")
 
 
@@ -90,14 +95,15 @@ def open_slot(text: str) -> bool:
     if not any(k in text for k in SLOT_SIGNS):
         return False
     for m in SLOT.finditer(text):
-        if m.group()[0] in "[_" and m.group()[:2] != "[[" and m.group().isupper() is False and UPPER_ONLY.fullmatch(m.group()) is None and not re.match(r"\[(?:insert|your|enter|add|page|site|company|date|name|title|text)\b", m.group(), re.I):
+        if m.group()[0] in "[_" and m.group()[:2] != "[[" and m.group().isupper() is False and UPPER_ONLY.fullmatch(m.group()) is None and not re.match(r"\[(?:insert|your|enter|add|page|site|company|date|name|title|text|phone|e-?mail|address|price|city)\b", m.group(), re.I):
             continue
         around = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
         if around[0] in set("`'\"“‘«") and around[1] in set("`'\"”’»") and around[0]:
             continue
         a = max(text.rfind("\n", 0, m.start()), text.rfind(". ", 0, m.start())) + 1
         b = min(x for x in (text.find("\n", m.end()), text.find(". ", m.end()), len(text)) if x >= 0)
-        if ABOUT.search(SLOT.sub(" ", text[a:b])):
+        said = unicodedata.normalize("NFKC", SLOT.sub(" ", text[a:b])).translate(_PLAIN)
+        if ABOUT.search(" ".join(said.split())):
             continue
         return True
     return False
@@ -137,6 +143,8 @@ def judge(url: str | None, title: str | None, text: str | None) -> tuple[str | N
     body = []
     for p in parts:
         bare = re.sub(r"^[^»>/]{1,60}[»>/] .*[»>/] ", "", p) if len(p) <= 300 else p
+        if 110 < len(bare) <= 220:  # ids and paths of a message don't count
+            bare = MASK.sub("#", ID_TAIL.sub("", bare))
         if len(bare) <= 110 and _says(bare, STEMS) and MESSAGE.search(QUOTE_PAIR.sub(" ", bare)):
             said += 1
         elif _says(p, NOISE_STEMS) and NOISE.search(p):
@@ -184,7 +192,7 @@ def residue(pages: DataFrame, same_body_slugs: int = SAME_BODY_SLUGS) -> DataFra
     status) and that its host serves under at least same_body_slugs slugs. Repeated rows
     come out once.
     """
-    each = judged(pages)
+    each = materialize(judged(pages).where("kind is not null or suspect"), "residue-judged")
     sure = each.where("kind is not null").select("result_id", "kind")
     odd = each.where("kind is null and suspect and host is not null").select("result_id", "host", "body", "slug")
     bodies = odd.groupBy("host", "body").agg(F.count_distinct("slug").alias("slugs")).where(F.col("slugs") >= same_body_slugs)
