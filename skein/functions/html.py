@@ -19,7 +19,7 @@ DROP_CLASS = ("modal", "popup", "newsletter", "subscribe", "advertisement", "pro
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td th thead tr ul".split())
-_SKIP = frozenset(("script", "style", "noscript", "template", "head"))
+_SKIP = frozenset(("script", "style", "noscript", "template", "head", "title"))
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 
 

@@ -61,7 +61,7 @@ def rule_table(texts: DataFrame, agent: str) -> DataFrame:
 def decide(requests: DataFrame, rules: DataFrame, origin: str = "origin", path: str = "path") -> DataFrame:
     """requests plus robots_allowed: the longest matching rule wins, allow wins a tie, no rule allows."""
     best = F.array_max(F.transform(F.filter("rules", lambda r: F.rlike(F.col(path), r["pattern"])), lambda r: F.struct(r["len"].alias("len"), r["allow"].alias("allow"))))
-    return requests.join(rules.withColumnRenamed("origin", origin), origin, "left").withColumn("robots_allowed", F.coalesce(best["allow"], F.lit(True))).drop("rules")
+    return requests.drop("rules", "robots_allowed").join(rules.withColumnRenamed("origin", origin), origin, "left").withColumn("robots_allowed", F.coalesce(best["allow"], F.lit(True))).drop("rules")
 
 
 def stale_rules(texts: DataFrame, now, ttl_seconds: int = 3600) -> DataFrame:

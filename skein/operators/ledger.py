@@ -29,7 +29,7 @@ def once(events: DataFrame, key: str = "id") -> DataFrame:
 def request_costs(requests: DataFrame, events: DataFrame) -> DataFrame:
     """requests with cost_cents: the sum over their events, 0 without any; events without request never count."""
     sums = events.where("request_id is not null").groupBy("request_id").agg(F.sum("cents").alias("cost_cents"))
-    return requests.join(sums, "request_id", "left").fillna({"cost_cents": 0})
+    return requests.drop("cost_cents").join(sums, "request_id", "left").fillna({"cost_cents": 0})
 
 
 def with_events(requests: DataFrame, events: DataFrame) -> DataFrame:
