@@ -11,7 +11,7 @@ from skein.functions import crypto, hosts, robots, urls
 from skein.functions import html as H
 from skein.functions.jsonschema import conforms
 from skein.functions.text import strings_match, strip_headings, utf16_length
-from skein.operators import freshness, frontier, ledger, replay, search, verify
+from skein.operators import freshness, frontier, ledger, replay, requests, search, verify
 from skein.sources import stores
 from skein.sources.stores import table
 from skein.streaming import tables as streams
@@ -172,6 +172,13 @@ def crawl_pages_ordered(spark, d):
     return frontier.ordered_pages(table(spark, d, "crawl_pages"))
 
 
+@query("""WITH j AS (SELECT id, coalesce(max_depth, 2) AS d, coalesce(max_pages, 50) AS p FROM crawl_jobs)
+SELECT id, concat_ws(',', CASE WHEN d NOT BETWEEN 0 AND 10 THEN 'max_depth' END, CASE WHEN p NOT BETWEEN 1 AND 500 THEN 'max_pages' END) AS at_fault, CASE WHEN d BETWEEN 0 AND 10 AND p BETWEEN 1 AND 500 THEN NULL ELSE 'client' END AS error_kind FROM j""")
+def requests_checked(spark, d):
+    out = requests.crawls(requests.defaults(table(spark, d, "crawl_jobs")))
+    return out.select("id", F.array_join("at_fault", ",").alias("at_fault"), "error_kind")
+
+
 _SUPPORTED = f"""
 WITH c AS (SELECT DISTINCT citation_id, result_id, request_id, field, quote, support_score, verified FROM citations),
 v AS (SELECT c.*, coalesce({_EVEN.format(c="c.quote")} <> '' AND contains({_EVEN.format(c="s.text")}, {_EVEN.format(c="c.quote")}), false) AS ok FROM c LEFT JOIN scrape_results s ON c.result_id = s.result_id)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skein.engine import Engine, NotConfigured
-from skein.operators import freshness, frontier, ledger, replay, search, verify
+from skein.operators import freshness, frontier, ledger, replay, requests, search, verify
 from skein.sources import fetch, stores
 
 T0 = dt.datetime(2024, 1, 1)
@@ -157,3 +157,12 @@ def test_streams(spark, tmp_path):
     src = spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "s"))
     got = {(r.url, r.seq): r.decision for r in tables.run_batches(tables.replay_stream(src), "t").collect()}
     assert got == want
+
+
+def test_requests(spark):
+    d = spark.createDataFrame([("http://a/", None, None), ("ftp://a", 11, 0), (None, 0, 500)], "root_url string, max_depth int, max_pages int")
+    got = [r.at_fault for r in requests.crawls(requests.defaults(d)).collect()]
+    assert got == [[], ["root_url", "max_depth", "max_pages"], ["root_url"]]
+    q = spark.createDataFrame([("a", 20), (" ", 21), (None, 1)], "query string, limit int")
+    assert [r.at_fault for r in requests.searches(q).collect()] == [[], ["query", "limit"], ["query"]]
+    assert [r.error_kind for r in requests.scrapes(d.withColumnRenamed("root_url", "url")).collect()] == [None, "client", "client"]
