@@ -276,7 +276,8 @@ def anchors_native(html: Column) -> Column:
 def links(pages: DataFrame, url: str = "final_url", html: str = "html", carry: tuple[str, ...] = ("result_id",)) -> DataFrame:
     """(carry..., pos, link): absolute http(s) links of each page in order, first occurrence of each kept."""
     from skein.functions.urls import resolve_url
+    from skein.sources.stores import spread
 
-    each = pages.select(*carry, F.col(url).alias("base"), hrefs(F.col(html)).alias("hrefs"))
+    each = spread(pages).select(*carry, F.col(url).alias("base"), hrefs(F.col(html)).alias("hrefs"))
     flat = each.select(*carry, "base", F.posexplode("hrefs").alias("pos", "href")).select(*carry, "pos", resolve_url("base", "href").alias("link")).where("link is not null")
     return flat.groupBy(*carry, "link").agg(F.min("pos").alias("pos"))

@@ -17,7 +17,7 @@ def top_k(documents: DataFrame, query: str, k: int = 10) -> DataFrame:
     """
     words = sorted(set(query.lower().split()))
     have = F.split(F.lower("text"), r"[^\p{L}\p{N}]+", -1)
-    score = sum((F.array_contains(have, w).cast("int") for w in words), F.lit(0))
+    score = F.size(F.array_intersect(have, F.array(*map(F.lit, words)))) if words else F.lit(0)
     return documents.select("doc_id", F.coalesce(score, F.lit(0)).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)
 
 

@@ -77,7 +77,7 @@ def strip_boilerplate_native(spark, d):
 
 @query()
 def page_content(spark, d):
-    return table(spark, d, "scrape_results").select("result_id", H.content(F.col("html")).alias("c")).select("result_id", "c.title", "c.markdown", "c.text")
+    return stores.spread(table(spark, d, "scrape_results").select("result_id", "html")).select("result_id", H.content(F.col("html")).alias("c")).select("result_id", "c.title", "c.markdown", "c.text")
 
 
 @query()

@@ -33,6 +33,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores, for stages of heavy work per row.
+
+    Only inputs of fewer partitions (small ones) are moved; a large table stays as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def crawl_page_key(crawl_id: Column, page_id: Column) -> Column:
     return F.concat(F.lit("crawl-pages/"), crawl_id, F.lit("/"), page_id.cast("string"), F.lit(".md"))
 
