@@ -3,40 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skein.sources.stores import materialize, shared_dir, spread, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One Parquet table of a data directory."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: spark.checkpoint.dir where the cluster names one.
-
-    A folder of our own is used only where that setting is absent (tests, laptops).
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="skein-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back.
-
-    Cuts the lineage, so a lost executor repeats only the work after this point.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["host_of", "materialize", "mix64", "shared_dir", "spread", "table", "tokenizer_path"]
 
 
 def host_of(url: Column) -> Column:

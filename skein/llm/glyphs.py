@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.llm.common import spread
+
 # Letters of other scripts that look like Latin letters.
 LOOKALIKES = {
     # Cyrillic
@@ -167,7 +169,7 @@ def normalized(df: DataFrame, key: str, text: str, case: bool = False) -> DataFr
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), one_form(b.column(1), case)], names=[key, "form"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, form string")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, form string")
 
 
 def _even(c: Column) -> Column:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import host_of, materialize
+from skein.llm.common import host_of, materialize, spread
 
 MIN_PAGES = 8
 MIN_SHARE = 0.2
@@ -76,7 +76,7 @@ def boilerplate_lines(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: f
 
     Pages without final_url belong to no site; NULL and empty markdown holds no lines.
     """
-    keyed = materialize(keyed_pages(pages), "line-keys")
+    keyed = materialize(keyed_pages(spread(pages.select("result_id", "final_url", "markdown"))), "line-keys")
     blocks = line_blocks(keyed, min_pages, min_share).groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("key", "block"))).alias("block_of"), F.collect_list("key").alias("nodes"))
     return (
         keyed.join(blocks, "site")
@@ -94,7 +94,7 @@ def strip_lines(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float =
 
     NULL markdown stays NULL; a page of no site comes back as it is.
     """
-    blocks = line_blocks(materialize(keyed_pages(pages), "line-keys"), min_pages, min_share).groupBy("site").agg(F.collect_list("key").alias("nodes"))
+    blocks = line_blocks(materialize(keyed_pages(spread(pages.select("result_id", "final_url", "markdown"))), "line-keys"), min_pages, min_share).groupBy("site").agg(F.collect_list("key").alias("nodes"))
     lines = F.split("markdown", "\n", -1)
     own = pages.select("result_id", "markdown", host_of(F.col("final_url")).alias("site")).join(blocks, "site", "left")
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("nodes", line_key(x)), F.lit(False)))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import materialize, mix64
+from skein.llm.common import materialize, mix64, spread
 
 MIN_WORDS = 60
 SHINGLE = 3
@@ -117,7 +117,7 @@ def sketched(pages: DataFrame, text: str = "markdown", bands: int = BANDS, rows:
                     names=["result_id", "sig", "n", "shingles", "bands", "sketch"],
                 )
 
-    return pages.where("result_id is not null").select("result_id", text).mapInArrow(run, "result_id bigint, sig string, n int, shingles array<bigint>, bands array<bigint>, sketch binary")
+    return spread(pages.where("result_id is not null").select("result_id", text)).mapInArrow(run, "result_id bigint, sig string, n int, shingles array<bigint>, bands array<bigint>, sketch binary")
 
 
 def candidates(reps: DataFrame, block: int = BLOCK) -> DataFrame:

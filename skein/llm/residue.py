@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import host_of, materialize
+from skein.llm.common import host_of, materialize, spread
 from skein.llm.glyphs import LOOKALIKES
 
 #: A page with so many sentences of its own is content, whatever else it shows.
@@ -181,7 +181,7 @@ def judged(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["result_id", "host", "kind", "suspect", "body", "slug"])
 
     cols = pages.select("result_id", host_of(F.col("final_url")).alias("host"), "final_url", "title", "text", F.col("status_code").cast("int").alias("code"))
-    return cols.mapInArrow(run, "result_id bigint, host string, kind string, suspect boolean, body string, slug string").withColumn("body", F.xxhash64("body"))
+    return spread(cols).mapInArrow(run, "result_id bigint, host string, kind string, suspect boolean, body string, slug string").withColumn("body", F.xxhash64("body"))
 
 
 def residue(pages: DataFrame, same_body_slugs: int = SAME_BODY_SLUGS) -> DataFrame:

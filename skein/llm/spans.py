@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import materialize, mix64
+from skein.llm.common import materialize, mix64, spread
 
 #: Characters (code points) a shared span must have.
 SPAN = 200
@@ -99,7 +99,7 @@ def anchored(documents: DataFrame, k: int = K, span: int = SPAN) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(pick), pa.array(pos.astype(np.int32)), b.column(1).take(pick)], names=["h", "doc_id", "pos", "sig"])
 
     rows = documents.where((F.length("text") >= span) & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("sig"), "text")
-    return rows.mapInArrow(run, "h bigint, doc_id bigint, pos int, sig bigint")
+    return spread(rows).mapInArrow(run, "h bigint, doc_id bigint, pos int, sig bigint")
 
 
 class FMIndex:

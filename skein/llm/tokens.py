@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skein.llm.common import tokenizer_path
+from skein.llm.common import spread, tokenizer_path
 
 #: Fixed value: the published pre-tokenizer pattern of the byte_bpe vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -150,7 +150,7 @@ def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer:
             flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[key, "ids"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return spread(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def token_counts(df: DataFrame, carry: list[str], text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
@@ -164,4 +164,4 @@ def token_counts(df: DataFrame, carry: list[str], text: str = "text", tokenizer:
             n = [len(enc.encode(t)) if t else 0 for t in batch.column(len(carry)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(n, pa.int64())], names=[*carry, "n_tokens"])
 
-    return df.select(*carry, text).mapInArrow(run, schema)
+    return spread(df.select(*carry, text)).mapInArrow(run, schema)
