@@ -36,8 +36,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """df over at least as many partitions as there are cores, for stages of heavy work per row.
 
-    Only inputs of fewer partitions (small ones) are moved; a large table stays as it lies.
+    Only plain scans of few partitions (small inputs) are moved; a large table stays as it
+    lies, and so does a plan with shuffles, which has its partitions from those and would be
+    run to count them.
     """
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" or "Exchange" in plan.toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

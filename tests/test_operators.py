@@ -166,3 +166,13 @@ def test_requests(spark):
     q = spark.createDataFrame([("a", 20), (" ", 21), (None, 1)], "query string, limit int")
     assert [r.at_fault for r in requests.searches(q).collect()] == [[], ["query", "limit"], ["query"]]
     assert [r.error_kind for r in requests.scrapes(d.withColumnRenamed("root_url", "url")).collect()] == [None, "client", "client"]
+
+
+def test_spread(spark):
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.range(10).coalesce(1)
+    assert stores.spread(one).rdd.getNumPartitions() == cores
+    many = spark.range(0, 10, 1, cores + 3)
+    assert stores.spread(many) is many
+    shuffled = one.groupBy("id").count()
+    assert stores.spread(shuffled) is shuffled
