@@ -28,6 +28,7 @@ SAME_BODY_SLUGS = 5
 # Forms of open template slots.
 SLOT = re.compile(
     r"\{\{[^{}\n]{1,60}\}\}|[$#]\{[^{}\n]{1,60}\}|<%[^%\n]{1,60}%>|\{%[^%\n]{1,60}%\}|%%\w[\w.]{1,40}%%|@@\w[\w.]{1,40}@@|__[A-Z][A-Z0-9_]{2,40}__"
+    r"|(?-i:\b[A-Z][A-Z0-9_]*_PLACEHOLDER\b|\bPLACEHOLDER_[A-Z0-9_]*[A-Z0-9]\b)"
     r"|\[\[[^\[\]\n]{1,60}\]\]|\[(?:insert|your|enter|add|page|site|company|date|name|title|text|phone|e-?mail|address|price|city)\b[^\]\n]{0,40}\]|\[[A-Z][A-Z ]{5,40}\]",
     re.I,
 )
@@ -51,6 +52,22 @@ LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim laborum "
     "orna dolem velus nostra vidunt dapis quisor curabo mattis etiam semper amor labora consel venit sitat nullo augur magnum ponit fugis tempora ullam".split()
 )
+#: A bare value that came out where a title belongs.
+EMPTY_TITLE = re.compile(r"undefined|null|NaN|\[object \w+\]")
+# Filler that is also the headline of real articles; as a title it counts when it stands alone or beside the site's name.
+HEADLINES = re.compile(r"coming soon|under construction", re.I)
+NOT_TODO = re.compile(r"[Tt]odo\b(?!:)")  # Spanish and Portuguese for all
+TITLE_CUT = re.compile(r"\s+[|·—–»-]\s+")
+# Status codes and their phrases as titles, and the words that may stand around a message in a title that is nothing else.
+STATUS_TITLE = re.compile(
+    r"(?:(?:error|http|status|code|erreur|fehler|błąd|ошибка)[ :#/.\d]*)?\b(?:4[0-3]\d|451|5[0-3]\d)(?:[ :]+(?:bad request|unauthori[sz]ed|forbidden|not found|method not allowed|request timeout|gone|too many requests|unavailable for legal reasons|(?:internal )?server error|not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|page not found|error))?",
+    re.I,
+)
+GLUE = frozenset(
+    "a an and are be been can has have is it its of on or our please sorry oops the this that to was we you your requested looking for continue proceed view use see first before here now later again temporarily currently "
+    "error http la le les du des de cette ce est été votre pour vous veuillez continuer temporairement désolé die der das diese dieser ist wurde bitte um zu leider fehler el los esta este está ha sido por favor para continuar su "
+    "o os não foi esta está ta ten nie jest została aby to эта не была для этой".split()
+)
 # Wordings of error messages and of demands for scripts.
 MESSAGE = re.compile(
     r"^(?:(?:error|http|status|erreur|fehler)[ :]*)?[1-5]\d\d(?: [\w ]{3,30})?$|^(?:oops|hmm|sorry|just a moment|something went wrong|désolé|lo sentimos|entschuldigung|ups)[!.… ]*$"
@@ -73,7 +90,7 @@ STEMS = (
     "inicio", "disponible", "negado", "nie ", "nie\n", "odmowa", "страница", "доступ", "сервер", "ページ", "アクセス",
 )
 NOISE_STEMS = ("request id", "token", "ray ", "ref", "réf", "trace", "©", "copyright", "rights", "cookie", "newsletter", "abonnés", "free", "trading name")
-SLOT_SIGNS = ("{", "<%", "%%", "@@", "__", "[")
+SLOT_SIGNS = ("{", "<%", "%%", "@@", "__", "[", "PLACEHOLDER")
 EMPTY_SIGNS = ("undefined", "null", "NaN", "[object")
 NOISE = re.compile(r"(?:request id|session token|ray|reference|réf|ref|trace)\.?:? [0-9a-f]{6,}|©|copyright|\ball rights reserved|cookies?\b|newsletter|abonnés|sign up free|trading name", re.I)
 ID_TAIL = re.compile(r"\W*\b(?:request id|session token|ray|reference|réf|ref|trace)\.?:? [0-9a-f]{6,}\W*$", re.I)
@@ -121,6 +138,52 @@ def pseudo_latin(text: str) -> bool:
     return False
 
 
+def _written_about(what: str, text: str, heading: bool) -> bool:
+    """Whether text writes about what: in a sentence of its own, or (heading) as a line by itself."""
+    found = re.compile(r"(?<!\w)" + re.escape(what.strip(" .!…")) + r"(?!\w)", re.I)
+    return any(heading or len(p) >= len(what) + 20 for p in SENTENCE.split(text) if found.search(p))
+
+
+def _only_message(part: str) -> bool:
+    """Whether a title's part is an error message or a demand for scripts and nothing else."""
+    bare = QUOTE_PAIR.sub(" ", part).strip(" .!…")
+    if STATUS_TITLE.fullmatch(bare):
+        return True
+    if len(bare) > 110 or bare[:1].isdigit() or re.match(r"(?:error|http|status|erreur|fehler)[ :]*\d", bare, re.I) or not (m := MESSAGE.search(bare)):
+        return False
+    rest = re.findall(r"[^\W_]+", (bare[: m.start()] + " " + bare[m.end() :]).lower())
+    return all(w in GLUE for w in rest)
+
+
+def judge_title(title: str, text: str, host: str = "") -> str | None:
+    """What a title shows in place of a real one; a title of an article about such things shows nothing.
+
+    Parts are what separators leave: the site's name may stand beside the residue.
+    """
+    whole = title.strip()
+    if not whole:
+        return None
+    if any(k in whole for k in EMPTY_SIGNS) and EMPTY_FIELD.search(whole):
+        return "empty field"
+    parts = [p.strip() for p in TITLE_CUT.split(whole) if p.strip()]
+    host = re.sub(r"[^\w]", "", host.lower())
+    alone = len(parts) == 1 or all(re.sub(r"\W", "", p.lower()) in host for p in parts[1:])
+    for p in dict.fromkeys([whole, *parts]):
+        if EMPTY_TITLE.fullmatch(p) and not _written_about(p, text, False):
+            return "empty field"
+        if FILLER.match(p) and not NOT_TODO.match(p) and (alone or not HEADLINES.match(p)):
+            return "filler"
+        words = TERM.findall(p.lower())
+        if len(words) > 1 and LATIN.issuperset(words) and (len(words) > 2 or "lorem" in words) and not _written_about(p, text, False):
+            return "pseudo latin"
+    if pseudo_latin(whole):
+        return "pseudo latin"
+    for p in dict.fromkeys([whole, parts[0]]):
+        if _only_message(p) and not _written_about(p, text, True):
+            return "message"
+    return None
+
+
 def judge(url: str | None, title: str | None, text: str | None) -> tuple[str | None, bool, str, str]:
     """(what was detected or None, low information, masked body, slug) of one response.
 
@@ -132,6 +195,8 @@ def judge(url: str | None, title: str | None, text: str | None) -> tuple[str | N
         return "slot", False, "", slug
     if any(k in text for k in EMPTY_SIGNS) and EMPTY_FIELD.search(text):
         return "empty field", False, "", slug
+    if shown := judge_title(title, text, re.sub(r"^[^/]*//|/.*", "", url or "")):
+        return shown, False, "", slug
     if not text.strip():
         return None, False, "", slug
     parts = [s.strip() for s in SENTENCE.split(text) if s.strip()]
