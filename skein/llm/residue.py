@@ -28,11 +28,16 @@ SAME_BODY_SLUGS = 5
 # Forms of open template slots.
 SLOT = re.compile(
     r"\{\{[^{}\n]{1,60}\}\}|[$#]\{[^{}\n]{1,60}\}|<%[^%\n]{1,60}%>|\{%[^%\n]{1,60}%\}|%%\w[\w.]{1,40}%%|@@\w[\w.]{1,40}@@|__[A-Z][A-Z0-9_]{2,40}__"
+    r"|(?<![A-Za-z0-9_\\^$#%{}/=&?])\{ ?(?!(?:sic|ibid|laughs|laughter|applause|pause)\b)[^\W\d]\w{1,40}(?:[.\-]\w{1,40})*(?:\|[\w ]{1,40})? ?\}(?!\})"
     r"|(?-i:\b[A-Z][A-Z0-9_]*_PLACEHOLDER\b|\bPLACEHOLDER_[A-Z0-9_]*[A-Z0-9]\b)"
     r"|\[\[[^\[\]\n]{1,60}\]\]|\[(?:insert|your|enter|add|page|site|company|date|name|title|text|phone|e-?mail|address|price|city)\b[^\]\n]{0,40}\]|\[[A-Z][A-Z ]{5,40}\]",
     re.I,
 )
 UPPER_ONLY = re.compile(r"\[[A-Z][A-Z ]{5,40}\]|__[A-Z][A-Z0-9_]{2,40}__")
+#: Variables of the shell, which commands in a text name.
+SHELL_NAME = re.compile(r"\$\{(?:HOME|PATH|USER|PWD|OLDPWD|SHELL|LANG|HOSTNAME|TMPDIR|EDITOR|TERM|LOGNAME|XDG_\w+|JAVA_HOME)\b[^}]*\}")
+#: Lines of code, in which single braces and capitals are names of the program's own.
+CODE_LINE = re.compile(r"^\s*(?:\$ |>>> |(?:def|class|import|const|let|var|return|function|curl|export|echo) |from \w+ import|(?:GET|POST|PUT|PATCH|DELETE) /|(?:if|for|while) ?\(|#include|SELECT )|\{\s*$|\);\s*$|=>|\w\((?:\)|[^()\n]*[{\"'])|\w ?[:!<>=]?= ?[\"'\[(]|</\w|://\S*\{|\bf[\"']")
 # Words with which a text speaks about slots instead of leaving one open.
 ABOUT = re.compile(
     r"\bslot\b|written as|is read by|placeholder|template (?:engine|language)|"
@@ -107,6 +112,13 @@ def _says(sentence: str, stems: tuple[str, ...]) -> bool:
     return low[0].isdigit() or any(k in low for k in stems)
 
 
+def _in_code(text: str, start: int, end: int) -> bool:
+    """Whether a place of text lies in a fenced block, in backticks or on a line of code."""
+    a = text.rfind("\n", 0, start) + 1
+    b = text.find("\n", end)
+    return text.count("```", 0, start) % 2 == 1 or text.count("`", a, start) % 2 == 1 or CODE_LINE.search(text[a : len(text) if b < 0 else b]) is not None
+
+
 def open_slot(text: str) -> bool:
     """Whether a slot stands open in text: one that no quote holds and no sentence explains."""
     if not any(k in text for k in SLOT_SIGNS):
@@ -117,6 +129,8 @@ def open_slot(text: str) -> bool:
         around = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
         if around[0] in set("`'\"“‘«") and around[1] in set("`'\"”’»") and around[0]:
             continue
+        if SHELL_NAME.fullmatch(m.group()) or (m.group()[0] == "{" and m.group()[1] not in "{%" or "PLACEHOLDER" in m.group()) and _in_code(text, m.start(), m.end()):
+            continue
         a = max(text.rfind("\n", 0, m.start()), text.rfind(". ", 0, m.start())) + 1
         b = min(x for x in (text.find("\n", m.end()), text.find(". ", m.end()), len(text)) if x >= 0)
         said = unicodedata.normalize("NFKC", SLOT.sub(" ", text[a:b])).translate(_PLAIN)
