@@ -349,7 +349,7 @@ def stream_cost_daily(spark, d):
 
 @query()
 def stream_event_windows(spark, d):
-    return streams.run_available(streams.windowed_events(streams.stream(spark, d, "events")), "stream-windows")
+    return streams.run_batches(streams.windowed_events(streams.stream(spark, d, "events")), "stream-windows", "complete")
 
 
 _SAME = """

@@ -32,17 +32,24 @@ def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
-def run_batches(df: DataFrame, name: str) -> DataFrame:
-    """As run_available for streams in update mode: every micro-batch is written under its own number, so a repeated one replaces itself."""
+def run_batches(df: DataFrame, name: str, mode: str = "update") -> DataFrame:
+    """As run_available for streams in update mode: every micro-batch is written under its own number, so a repeated one replaces itself.
+
+    In complete mode each micro-batch holds the whole result and the last one is returned.
+    """
     spark = df.sparkSession
     base = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    q = df.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    q = df.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).option("basePath", f"{base}/out").parquet(f"{base}/out").select(*df.columns)
+    schema = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())]) if mode == "complete" else df.schema
+    out = spark.read.schema(schema).option("basePath", f"{base}/out").parquet(f"{base}/out")
+    if mode == "complete":
+        out = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0])
+    return out.select(*df.columns)
 
 
 def deduplicated_costs(events: DataFrame, lateness: str = "60 days") -> DataFrame:
@@ -50,10 +57,16 @@ def deduplicated_costs(events: DataFrame, lateness: str = "60 days") -> DataFram
     return events.withWatermark("created_at", lateness).dropDuplicatesWithinWatermark(["id"])
 
 
-def windowed_events(events: DataFrame, ts: str = "ts", size: str = "1 day", lateness: str = "1 hour") -> DataFrame:
-    """Events and value per tumbling window and type, emitted once the watermark has passed a window."""
+def windowed_events(events: DataFrame, ts: str = "ts", size: str = "1 day", lateness: str | None = None) -> DataFrame:
+    """Events per tumbling window and type.
+
+    Without lateness no event is too late and the state keeps every window: for complete or
+    update mode over a bounded table. With it, rows of windows that the watermark has passed
+    are dropped, and append mode holds the last windows back.
+    """
     timed = events.withColumn("at", F.col(ts).cast("timestamp"))
-    out = timed.withWatermark("at", lateness).groupBy(F.window("at", size), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    timed = timed if lateness is None else timed.withWatermark("at", lateness)
+    out = timed.groupBy(F.window("at", size), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return out.select(F.col("window.start").alias("start"), "event_type", "n")
 
 
