@@ -42,8 +42,12 @@ HANGUL = range(0xAC00, 0xD7A4)
 BLANK = 0x20
 
 
-def _written(cp: int, case: bool) -> str:
-    """What one code point becomes: its common form, decomposed."""
+def _written(cp: int, case: bool, small: bool = False) -> str:
+    """What one code point becomes: its common form, decomposed.
+
+    small: letters go to lower case before look-alikes are taken, so that a letter and its
+    capital end alike; otherwise a capital is taken for what it looks like as a capital.
+    """
     ch = chr(cp)
     cat = unicodedata.category(ch)
     if cat in ("Zs", "Zl", "Zp") or ch in "\t\n\r\v\f\x85":
@@ -52,15 +56,18 @@ def _written(cp: int, case: bool) -> str:
         return ""
     if unicodedata.decomposition(ch).startswith(SAME_LOOK) or cp in LIGATURES:
         ch = unicodedata.normalize("NFKC", ch)
-    out = "".join(LOOKALIKES.get(c, c) for c in (ch if cp in HANGUL else unicodedata.normalize("NFD", ch)))
+    out = ch if cp in HANGUL else unicodedata.normalize("NFD", ch)
+    if small and cp not in HANGUL:
+        out = unicodedata.normalize("NFD", out.lower()).replace("ς", "σ")
+    out = "".join(LOOKALIKES.get(c, c) for c in out)
     if case:
         out = unicodedata.normalize("NFD", out.lower()) if cp not in HANGUL else out
         out = "".join(LOOKALIKES.get(c, c) for c in out)
     return out
 
 
-@lru_cache(maxsize=2)
-def tables(case: bool) -> tuple[np.ndarray, ...]:
+@lru_cache(maxsize=3)
+def tables(case: bool, small: bool = False) -> tuple[np.ndarray, ...]:
     """(count, start, flat, ccc, pair keys, pair results) over all code points; built by rule."""
     n = sys.maxunicode + 1
     count, start, ccc = np.ones(n, np.int64), np.arange(n, dtype=np.int64), np.zeros(n, np.uint8)
@@ -74,7 +81,7 @@ def tables(case: bool) -> tuple[np.ndarray, ...]:
         if d and d[0] != "<" and len(d.split()) == 2 and unicodedata.normalize("NFC", ch) == ch:
             a, b = (int(x, 16) for x in d.split())
             pairs[(a << 21) | b] = cp
-        w = _written(cp, case)
+        w = _written(cp, case, small)
         if w != ch:
             count[cp], start[cp] = len(w), extra
             flat.append(np.array([ord(c) for c in w], np.uint32))
@@ -124,15 +131,15 @@ def _compose(cp: np.ndarray, row: np.ndarray, ccc: np.ndarray, keys: np.ndarray,
     return cp, row
 
 
-def one_form(texts: pa.Array, case: bool = True) -> pa.Array:
+def one_form(texts: pa.Array, case: bool = True, small: bool = False) -> pa.Array:
     """The common form of every text of an Arrow string array; NULL stays NULL.
 
-    case: letters in lower case too. Blank runs of any kind become one blank, outer blanks go.
+    case: letters in lower case too; small: before look-alikes are taken, not after. Blank runs of any kind become one blank, outer blanks go.
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     filled = pc.fill_null(texts.cast(pa.large_string()), "")
-    count, start, flat, ccc, keys, res = tables(case)
+    count, start, flat, ccc, keys, res = tables(case, small)
     lens = pc.utf8_length(filled).to_numpy(zero_copy_only=False).astype(np.int64)
     offs = np.frombuffer(filled.buffers()[1], np.int64)[filled.offset : filled.offset + len(filled) + 1]
     data = filled.buffers()[2]
@@ -180,7 +187,9 @@ def found_only_by_form(citations: DataFrame, pages: DataFrame) -> DataFrame:
     """(citation_id): quotes that stand in their page only once writings that look the same are one.
 
     Quotes that are NULL, blank or empty in their common form are no cases, nor are
-    citations without a page; a citation delivered twice comes out once.
+    citations without a page; a citation delivered twice comes out once. Look-alikes are
+    taken before letter case (Cyrillic В in a Latin word) and, where that finds nothing, after
+    it (В beside в in a Russian quote, Ν beside ν in a Greek one).
     """
     quotes = citations.where("citation_id is not null").select("citation_id", "result_id", F.regexp_replace("quote", "^[ \t\n]+|[ \t\n]+$", "").alias("quote")).where("quote != ''")
     pairs = quotes.join(pages.select("result_id", "text").where("text is not null"), "result_id").where(~F.contains(_even(F.col("text")), _even(F.col("quote"))))
@@ -189,6 +198,11 @@ def found_only_by_form(citations: DataFrame, pages: DataFrame) -> DataFrame:
         for b in batches:
             q, t = one_form(b.column(1)).to_pylist(), one_form(b.column(2)).to_pylist()
             hit = [bool(x) and x in y for x, y in zip(q, t, strict=True)]
+            left = [i for i, found in enumerate(hit) if not found]
+            if left:
+                q, t = (one_form(b.column(k).take(pa.array(left)), small=True).to_pylist() for k in (1, 2))
+                for i, x, y in zip(left, q, t, strict=True):
+                    hit[i] = bool(x) and x in y
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(hit, pa.bool_()))], names=["citation_id"])
 
     return pairs.select("citation_id", "quote", "text").mapInArrow(run, "citation_id bigint").distinct()
