@@ -5,12 +5,12 @@ from __future__ import annotations
 import os
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.sources.stores import materialize, shared_dir, spread, table
 
-__all__ = ["host_of", "materialize", "mix64", "shared_dir", "spread", "table", "tokenizer_path"]
+__all__ = ["host_of", "join_sites", "materialize", "mix64", "shared_dir", "spread", "table", "tokenizer_path"]
 
 
 def host_of(url: Column) -> Column:
@@ -31,3 +31,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def tokenizer_path(file: str, folder: str | None = None) -> str:
     """Place of a public vocabulary file; folder defaults to SKEIN_TOKENIZERS or /opt/tokenizers."""
     return os.path.join(folder or os.environ.get("SKEIN_TOKENIZERS", "/opt/tokenizers"), file)
+
+
+def join_sites(rows: DataFrame, per_site: DataFrame, sizes: DataFrame, site: str, key: str, most: int) -> DataFrame:
+    """rows left-joined with the one row per_site has of their site, the rows of large sites spread over parts.
+
+    sizes: (site, rows). A site of more than `most` rows takes ceil(rows / most) parts by a
+    hash of key; its row of per_site is repeated for each. The table of such sites has at most a row per
+    `most` rows of the input, so it may be broadcast.
+    """
+    large = sizes.where((F.col("rows") > most) & F.col(site).isNotNull()).select(site, F.ceil(F.col("rows") / most).cast("int").alias("_parts"))
+    split = rows.join(F.broadcast(large), site, "left").withColumn("_part", F.pmod(F.xxhash64(key), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    each = per_site.join(F.broadcast(large), site, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return split.join(each, [site, "_part"], "left").drop("_part")

@@ -1,9 +1,13 @@
 """Problem 1: template residue, filler, error pages and demands for scripts.
 
-Method: placeholder detectors read title and text; a response whose few sentences are
-messages instead of content is judged together with how address slug, title and body fit
-each other, and bodies of any length that one host serves under several slugs without a term
-of them count as evidence even where no detector knows their wording.
+Method: a response is taken apart into sentences, and each is compared with address slug and
+title. Lines that many content pages of a host share (menus, legal lines) are no information;
+a response of which little else is left is poor. Sentences of poor responses that come under
+several slugs, that hardly any content page holds and that name nothing of slug or title are
+residue, in whatever language (evidence of one host is added to that of the others). Detectors
+find open slots, empty fields and filler, and known wordings decide where too few responses
+repeat a message. Bodies of any length that one host serves under several slugs without a term
+of them count as well.
 """
 
 from __future__ import annotations
@@ -16,21 +20,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import host_of, materialize, spread
+from skein.llm.common import host_of, join_sites, materialize, spread
 from skein.llm.glyphs import LOOKALIKES
 
-#: A page with so many sentences of its own is content, whatever else it shows.
-REAL_SENTENCES = 3
+#: A response with fewer letters besides what its host repeats is poor.
 REAL_LETTERS = 420
+#: Sentences of poor responses count as residue from so many slugs on.
+SAME_SENTENCE_SLUGS = 3
+#: At least this share of the responses with such a sentence are poor, and at most this share name a term of it in slug or title.
+POOR_SHARE, FIT_SHARE = 0.8, 0.5
+#: Of the letters of a poor response that fits its title or slug, so many must be residue.
+RESIDUE_SHARE = 0.5
+#: A line is its host's own from so many content pages on, and from this share of them on.
+HOST_LINE_PAGES, HOST_LINE_SHARE = 8, 0.02
 #: A body must come under so many slugs of one host to count by itself.
 SAME_BODY_SLUGS = 5
+#: Rows of one host that share a part of a join.
+HOST_ROWS = 200_000
 
 # Forms of open template slots.
 SLOT = re.compile(
-    r"\{\{[^{}\n]{1,60}\}\}|[$#]\{[^{}\n]{1,60}\}|<%[^%\n]{1,60}%>|\{%[^%\n]{1,60}%\}|%%\w[\w.]{1,40}%%|@@\w[\w.]{1,40}@@|__[A-Z][A-Z0-9_]{2,40}__"
+    r"\{\{[^{}\n]+\}\}|[$#]\{[^{}\n]+\}|<%[^%\n]+%>|\{%[^%\n]+%\}|%%\w[\w.]{1,40}%%|@@\w[\w.]{1,40}@@|__[A-Z][A-Z0-9_]{2,40}__"
     r"|(?<![A-Za-z0-9_\\^$#%{}/=&?])\{ ?(?!(?:sic|ibid|laughs|laughter|applause|pause)\b)[^\W\d]\w{1,40}(?:[.\-]\w{1,40})*(?:\|[\w ]{1,40})? ?\}(?!\})"
     r"|(?-i:\b[A-Z][A-Z0-9_]*_PLACEHOLDER\b|\bPLACEHOLDER_[A-Z0-9_]*[A-Z0-9]\b)"
-    r"|\[\[[^\[\]\n]{1,60}\]\]|\[(?:insert|your|enter|add|page|site|company|date|name|title|text|phone|e-?mail|address|price|city)\b[^\]\n]{0,40}\]|\[[A-Z][A-Z ]{5,40}\]",
+    r"|\[\[[^\[\]\n]+\]\]|\[(?:insert|your|enter|add|page|site|company|date|name|title|text|phone|e-?mail|address|price|city)\b[^\]\n]*\]|\[[A-Z][A-Z ]{5,40}\]",
     re.I,
 )
 UPPER_ONLY = re.compile(r"\[[A-Z][A-Z ]{5,40}\]|__[A-Z][A-Z0-9_]{2,40}__")
@@ -109,11 +122,11 @@ STEMS = (
 NOISE_STEMS = ("request id", "token", "ray ", "ref", "réf", "trace", "©", "copyright", "rights", "cookie", "newsletter", "abonnés", "free", "trading name")
 SLOT_SIGNS = ("{", "<%", "%%", "@@", "__", "[", "PLACEHOLDER")
 EMPTY_SIGNS = ("undefined", "null", "NaN", "[object")
-NOISE = re.compile(r"(?:request id|session token|ray|reference|réf|ref|trace)\.?:? [0-9a-f]{6,}|©|copyright|\ball rights reserved|cookies?\b|newsletter|abonnés|sign up free|trading name", re.I)
+NOISE = re.compile(r"(?:request id|session token|ray|reference|réf|ref|trace)\.?:? [0-9a-f]{6,}|(?<!\w)©|copyright|\ball rights reserved|cookies?\b|newsletter|abonnés|sign up free|trading name", re.I)
 ID_TAIL = re.compile(r"\W*\b(?:request id|session token|ray|reference|réf|ref|trace)\.?:? [0-9a-f]{6,}\W*$", re.I)
 SENTENCE = re.compile(r"\n+|(?<=[.!?…。])[ ]+(?=\S)")
 QUOTE_PAIR = re.compile(r'["“„«`‘][^"“”„«»`’\n]{2,80}["”“»`’]')
-MASK = re.compile(r"[0-9a-f]{8,}|/[\w\-/]+|\d+(?:\.\d+)?")
+MASK = re.compile(r"(?=[0-9a-f]*\d)[0-9a-f]{6,}|/[\w\-/]+|\d+(?:[.,]\d+)*")
 #: Look-alike letters to Latin, invisible characters to nothing.
 _PLAIN = str.maketrans({**LOOKALIKES, **dict.fromkeys("\u00ad\u200b\u200c\u200d\u2060\ufeff", "")})
 TERM = re.compile(r"[^\W\d_]{4,}")
@@ -223,51 +236,67 @@ def judge_title(title: str, text: str, host: str = "") -> str | None:
     return None
 
 
-def judge(url: str | None, title: str | None, text: str | None) -> tuple[str | None, bool, str, str]:
-    """(what was detected or None, low information, masked body, slug) of one response.
+def says(sentence: str) -> bool:
+    """Whether a sentence has a known wording of an error message or a demand for scripts; quoted ones are left out."""
+    bare = re.sub(r"^[^»>/]{1,60}[»>/] .*[»>/] ", "", sentence)
+    bare = MASK.sub("#", ID_TAIL.sub("", bare)) if len(bare) > 110 else bare
+    return bool(bare) and _says(bare, STEMS) and MESSAGE.search(QUOTE_PAIR.sub(" ", bare)) is not None
 
-    NULL or empty texts and titles detect nothing by themselves.
-    """
-    text, title = text or "", title or ""
-    slug = (re.sub(r"[?#].*", "", url or "").rstrip("/").rpartition("/")[2]).lower()
+
+def noise(sentence: str) -> bool:
+    """Whether a sentence is a legal line, a cookie notice, an id or the like."""
+    return _says(sentence, NOISE_STEMS) and NOISE.search(sentence) is not None
+
+
+def slug_of(url: str | None) -> str:
+    return re.sub(r"[?#].*", "", url or "").rstrip("/").rpartition("/")[2].lower()
+
+
+def open_field(title: str, text: str) -> str | None:
+    """slot or empty field where one stands open in title or text, be the rest as it may."""
     if open_slot(title) or open_slot(text):
-        return "slot", False, "", slug
-    if any(k in text for k in EMPTY_SIGNS) and EMPTY_FIELD.search(text):
-        return "empty field", False, "", slug
+        return "slot"
+    return "empty field" if any(k in text for k in EMPTY_SIGNS) and EMPTY_FIELD.search(text) else None
+
+
+def filler(url: str | None, title: str, text: str) -> str | None:
+    """What detectors of titles, site builders' filler and pseudo-Latin find."""
     if shown := judge_title(title, text, re.sub(r"^[^/]*//|/.*", "", url or "")):
-        return shown, False, "", slug
-    if not text.strip():
-        return None, False, "", slug
-    parts = [s.strip() for s in SENTENCE.split(text) if s.strip()]
-    if any(len(p) < 120 and FILLER.match(p) for p in parts):
-        return "filler", False, "", slug
-    if pseudo_latin(text):
-        return "pseudo latin", False, "", slug
-    said, real, letters, low = 0, 0, 0, True
-    body = []
-    for p in parts:
-        bare = re.sub(r"^[^»>/]{1,60}[»>/] .*[»>/] ", "", p) if len(p) <= 300 else p
-        if 110 < len(bare) <= 220:  # ids and paths of a message don't count
-            bare = MASK.sub("#", ID_TAIL.sub("", bare))
-        if len(bare) <= 110 and _says(bare, STEMS) and MESSAGE.search(QUOTE_PAIR.sub(" ", bare)):
-            said += 1
-        elif _says(p, NOISE_STEMS) and NOISE.search(p):
-            continue
-        else:
-            letters += sum(map(str.isalpha, p))
-            real += len(p) >= 40 and p[-1] in ".!?…”»“\"。"
-            low = real < REAL_SENTENCES and letters < REAL_LETTERS
-            if not low:
-                return None, False, "", slug
-        body.append(p)
-    masked = MASK.sub("#", " ".join(body))
-    return ("message" if said else None), True, masked, slug
+        return shown
+    if any(FILLER.match(p) and not NOT_TODO.match(p) for s in SENTENCE.split(text) if (p := s.strip())):
+        return "filler"
+    return "pseudo latin" if pseudo_latin(text) else None
+
+
+def sentences(title: str, text: str, slug: str, host: str) -> list[tuple[str, int, int, bool]]:
+    """(masked, letters, fits, said) of the sentences that hold letters and are no noise.
+
+    fits: 1 if it shares a term with the slug, plus 2 if with the title; the site's name and
+    a sentence that is the title don't count. said: see says().
+    """
+    parts = TITLE_CUT.split(title.strip())
+    head = " ".join(p for i, p in enumerate(parts) if i == 0 or re.sub(r"\W", "", p.lower()) not in host)
+    about, named = {w for w in _terms(slug) if w not in host}, {w for w in _terms(head) if w not in host}
+    out = []
+    for s in SENTENCE.split(text):
+        p = s.strip()
+        letters = sum(map(str.isalpha, p))
+        if letters and ((said := says(p)) or not noise(p)):
+            has = _terms(p)
+            out.append((MASK.sub("#", p), letters, bool(has & about) + 2 * (bool(has & named) and p.strip(" .!…") not in parts), said))
+    return out
 
 
-def _fits(title: str, text: str, slug: str) -> bool:
-    """Whether title or slug share terms with the body."""
-    body = set(map(str.lower, TERM.findall(text)))
-    return bool(body & set(map(str.lower, TERM.findall(title)))) or bool(body & set(TERM.findall(slug)))
+def judge(url: str | None, title: str | None, text: str | None) -> tuple[str | None, bool]:
+    """(what detectors find by themselves, whether the text is poor) of one response, without evidence of others.
+
+    NULL or empty texts and titles detect nothing by themselves.
+    """
+    title, text = title or "", text or ""
+    kind = open_field(title, text) or filler(url, title, text)
+    each = sentences(title, text, slug_of(url), "")
+    poor = bool(each) and sum(n for _, n, _, said in each if not said) < REAL_LETTERS
+    return kind or ("message" if poor and any(x[3] for x in each) else None), poor
 
 
 def _terms(text: str) -> set[str]:
@@ -302,39 +331,102 @@ def unfit_body(url: str | None, title: str | None, text: str | None, slug: str)
     return MASK.sub("#", body), about if named and about else None
 
 
+_JUDGED = "result_id bigint, host string, slug bigint, title bigint, code int, open string, filler string, said array<boolean>, keys array<bigint>, letters array<int>, fits array<int>, body bigint, about bigint"
+
+
 def judged(pages: DataFrame) -> DataFrame:
-    """(result_id, host, kind, suspect, body, slug) for every row; body is a 64-bit key of the masked text."""
+    """Every row taken apart: slug and sentences as 64-bit keys, what detectors say, and a key of a body without a term of title or slug.
+
+    body is NULL where some sentence names such a term, about where title and slug say nothing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        key = lambda x: None if x is None else xxhash.xxh3_64_intdigest(x) - (1 << 63)
+        kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64())
         for b in batches:
             ids, hosts, urls, titles, texts, codes = (c.to_pylist() for c in b.columns)
             out = []
-            for u, t, x, code in zip(urls, titles, texts, codes, strict=True):
-                kind, low, masked, slug = judge(u, t, x)
-                odd = low and kind is None and bool(masked) and (not _fits(t or "", x or "", slug) or (code or 200) >= 400)
-                if kind is None and not low and (long := unfit_body(u, t, x, slug)):
-                    odd, (masked, slug) = True, long
-                out.append((kind, odd, masked if odd else None, slug))
-            cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["result_id", "host", "kind", "suspect", "body", "slug"])
+            for h, u, t, x in zip(hosts, urls, titles, texts, strict=True):
+                t, x, slug = t or "", x or "", slug_of(u)
+                each = sentences(t, x, slug, h or "")
+                body, about = unfit_body(u, t, x, slug) or (None, None)
+                out.append((key(slug), key(MASK.sub("#", t.strip()) or None), open_field(t, x), filler(u, t, x), [e[3] for e in each], [key(e[0]) for e in each], [e[1] for e in each], [e[2] for e in each], key(body), key(about)))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 10
+            slug, title, *rest = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), slug, title, b.column(5), *rest], names=["result_id", "host", "slug", "title", "code", "open", "filler", "said", "keys", "letters", "fits", "body", "about"])
 
     cols = pages.select("result_id", host_of(F.col("final_url")).alias("host"), "final_url", "title", "text", F.col("status_code").cast("int").alias("code"))
-    return spread(cols).mapInArrow(run, "result_id bigint, host string, kind string, suspect boolean, body string, slug string").withColumn("body", F.xxhash64("body"))
+    return spread(cols).mapInArrow(run, _JUDGED)
+
 
+def poor_pages(each: DataFrame) -> DataFrame:
+    """judged() rows with poor and, of each sentence, own: whether it is the page's and not a line that its host repeats.
 
-def residue(pages: DataFrame, same_body_slugs: int = SAME_BODY_SLUGS) -> DataFrame:
+    Lines count by the content pages of their host. Their number is bounded by
+    1 / HOST_LINE_SHARE times the lines of a mean page, so a host's lines fit a row; hosts
+    of many rows are split.
+    """
+    rich = each.where(F.aggregate("letters", F.lit(0), lambda a, x: a + x) >= REAL_LETTERS).where("host is not null")
+    size = rich.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    lines = rich.select("host", F.explode(F.array_distinct("keys")).alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOST_LINE_PAGES)
+    lines = lines.join(size, "host").where(F.col("n") >= HOST_LINE_SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("key").alias("lines"))
+    rows = join_sites(each, lines, each.groupBy("host").agg(F.count(F.lit(1)).alias("rows")), "host", "result_id", HOST_ROWS)
+    own = F.transform("keys", lambda k: ~F.coalesce(F.array_contains("lines", k), F.lit(False)))
+    parts = F.arrays_zip(F.col("letters").alias("n"), F.col("own").alias("own"), F.col("said").alias("said"))
+    left = F.aggregate(parts, F.lit(0), lambda a, x: a + F.when(x["own"] & ~x["said"], x["n"]).otherwise(0))
+    held = F.aggregate(parts, F.lit(0), lambda a, x: a + F.when(x["own"], x["n"]).otherwise(0))
+    return rows.withColumn("own", own).withColumns({"left": left, "held": held}).withColumn("poor", (F.col("left") < REAL_LETTERS) & (F.col("held") > 0)).drop("lines", "left")
+
+
+def fitted(each: DataFrame, slugs: int = SAME_SENTENCE_SLUGS) -> DataFrame:
+    """The poor rows with fits as booleans: a title that poor responses of several slugs share names nothing."""
+    poor = each.where("poor")
+    shared = poor.where("title is not null").groupBy("title").agg(F.count_distinct("slug").alias("n")).where(F.col("n") >= slugs).select("title", F.lit(True).alias("shared"))
+    bit = F.when(F.col("shared"), 1).otherwise(3)
+    return poor.join(shared, "title", "left").withColumn("fits", F.transform("fits", lambda f: f.bitwiseAND(bit) > 0)).drop("shared")
+
+
+def residue_sentences(each: DataFrame, poor: DataFrame, slugs: int = SAME_SENTENCE_SLUGS) -> DataFrame:
+    """(key, slugs, hosts, poor, rich): sentences that count as residue, see the module's method."""
+    part = F.explode(F.filter(F.arrays_zip(F.col("keys").alias("key"), F.col("own").alias("own"), F.col("fits").alias("fits")), lambda x: x["own"])).alias("s")
+    found = poor.select("slug", "host", part).select("slug", "host", "s.key", "s.fits").groupBy("key").agg(F.count_distinct("slug").alias("slugs"), F.count_distinct("host").alias("hosts"), F.count(F.lit(1)).alias("poor"), F.count_if("fits").alias("fit"))
+    found = found.where((F.col("slugs") >= slugs) & (F.col("fit") <= FIT_SHARE * F.col("poor")))
+    rich = each.where("not poor").select(F.explode(F.array_distinct("keys")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("rich"))
+    out = found.join(rich, "key", "left").fillna(0, ["rich"])
+    return out.where(F.col("poor") >= POOR_SHARE * (F.col("poor") + F.col("rich"))).select("key", "slugs", "hosts", "poor", "rich")
+
+
+def residue(pages: DataFrame, same_body_slugs: int = SAME_BODY_SLUGS, same_sentence_slugs: int = SAME_SENTENCE_SLUGS) -> DataFrame:
     """(result_id, kind): the responses to leave out and why.
 
-    kind is slot, empty field, filler, pseudo latin, message, or repeated body: a text that
-    its host serves under at least same_body_slugs slugs and that fits neither title nor
-    slug. A low-information text may carry an error status instead; of a longer one the
-    sentences count, and the slugs must differ in words. Repeated rows come out once.
+    kind is slot or empty field (open in title or text, whatever stands around it); repeated
+    sentence (a poor response made of what several slugs get); filler, pseudo latin or
+    message (detectors of title and text); error status (a poor response that names nothing
+    of its title or slug, under a status of 400 or more); repeated body: a text that its
+    host serves under at least same_body_slugs slugs and that fits neither title nor slug.
+    Empty texts and titles are no cases. Repeated rows come out once.
     """
-    each = materialize(judged(pages).where("kind is not null or suspect"), "residue-judged")
-    sure = each.where("kind is not null").select("result_id", "kind")
-    odd = each.where("kind is null and suspect and host is not null").select("result_id", "host", "body", "slug")
-    bodies = odd.groupBy("host", "body").agg(F.count_distinct("slug").alias("slugs")).where(F.col("slugs") >= same_body_slugs)
-    return sure.unionByName(odd.join(bodies, ["host", "body"]).select("result_id", F.lit("repeated body").alias("kind"))).dropDuplicates(["result_id"])
+    each = materialize(judged(pages.where("result_id is not null")), "residue-judged")
+    each = materialize(poor_pages(each), "residue-own")
+    poor = materialize(fitted(each, same_sentence_slugs), "residue-poor")
+    known = materialize(residue_sentences(each, poor, same_sentence_slugs), "residue-sentences")
+    part = F.explode(F.filter(F.arrays_zip(F.col("keys").alias("key"), F.col("letters").alias("n"), F.col("own").alias("own")), lambda x: x["own"])).alias("s")
+    told = poor.select("result_id", "held", F.exists("fits", lambda f: f).alias("fit"), part).select("result_id", "held", "fit", "s.key", "s.n").join(known.select("key"), "key")
+    told = told.groupBy("result_id").agg(F.sum("n").alias("n"), F.max("held").alias("held"), F.bool_or("fit").alias("fit"))
+    told = told.where(~F.col("fit") | (F.col("n") >= RESIDUE_SHARE * F.col("held"))).select("result_id", F.lit(True).alias("told"))
+    rest = each.where("not poor and (open is not null or filler is not null)").select("result_id", F.coalesce("open", "filler").alias("kind"))
+    kind = (
+        F.when(F.col("open").isNotNull(), F.col("open")).when(F.col("told"), "repeated sentence").when(F.col("filler").isNotNull(), F.col("filler"))
+        .when(F.exists("said", lambda x: x), "message").when(~F.exists("fits", lambda f: f) & (F.col("code") >= 400), "error status")
+    )
+    mine = poor.join(told, "result_id", "left").select("result_id", kind.alias("kind")).where("kind is not null").unionByName(rest)
+    odd = each.where("body is not null and host is not null").select("result_id", "host", "body", "about")
+    bodies = odd.groupBy("host", "body").agg(F.count_distinct("about").alias("slugs")).where(F.col("slugs") >= same_body_slugs)
+    more = odd.join(bodies, ["host", "body"], "left_semi").select("result_id", F.lit("repeated body").alias("kind"))
+    order = F.when(F.col("kind") == "repeated body", 1).otherwise(0)
+    return mine.unionByName(more).groupBy("result_id").agg(F.min_by("kind", order).alias("kind"))
 
 
 def clean_pages(pages: DataFrame, same_body_slugs: int = SAME_BODY_SLUGS) -> DataFrame:

@@ -43,11 +43,18 @@ def test_error_words_in_an_article():
     assert residue.judge("u", "What error 404 means", real + " Page not found.")[0] is None
 
 
-def test_repeated_bodies(spark):
-    rows = [(i, f"http://a.test/p/slug{chr(97 + i) * 5}-{i}", f"Title number {chr(97 + i) * 6}", f"Zutritt bleibt heute gesperrt {i}", 200) for i in range(6)]
-    rows.append((9, "http://b.test/p/other-1", "Some title", "Zutritt bleibt heute gesperrt 7", 200))
+def test_repeated_sentences(spark):
+    word = lambda i: "abcdefghij"[i] * 6
+    page = lambda i, host, text, code=200: (i, f"http://{host}.test/p/{word(i % 10)}-{i}", f"Title number {word(i % 10)}", text, code)
+    rows = [page(i, "a", f"Zutritt bleibt heute gesperrt {i}") for i in range(6)] + [page(9, "b", "Zutritt bleibt heute gesperrt 7")]  # hosts add up
+    rows += [page(10 + i, "c", "Denne siden finnes ikke.\nMeny og kontakt her") for i in range(3)]  # a language of no list
+    rows += [page(20, "c", "Prosím vraťte se později.", 404), page(21, "c", "Prosím přijďte zítra ráno."), page(22, "d", "", 404), page(23, "d", None, 404)]
+    real = " ".join(f"The garden club number {i} met near the river and planted a row of trees." for i in range(9))
+    rows += [page(30 + i, "c", f"Meny og kontakt her\n{real} Story {word(i)}.") for i in range(10)]  # a line of the host, no residue
+    rows += [page(40 + i, "e", f"{word(i)} opens again at noon on the market square.\nMeny og kontakt her") for i in range(4)]  # short, but about their slug
     p = spark.createDataFrame(rows, "result_id long, final_url string, title string, text string, status_code int")
-    assert {(r.result_id, r.kind) for r in residue.residue(p).collect()} == {(i, "repeated body") for i in range(6)}
+    got = {r.result_id: r.kind for r in residue.residue(p).collect()}
+    assert got == {**dict.fromkeys([*range(6), 9, 10, 11, 12], "repeated sentence"), 20: "error status"}
 
 
 # 2
