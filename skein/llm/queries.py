@@ -47,6 +47,10 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     return lines.strip_lines(table(spark, d, "scrape_results"))
 
 
+def p4_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return lines.site_blocks(table(spark, d, "scrape_results"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return glyphs.found_only_by_form(table(spark, d, "citations"), table(spark, d, "scrape_results"))
 
@@ -97,6 +101,25 @@ hot AS (
   HAVING count(DISTINCT result_id) >= 8 AND count(DISTINCT result_id) * 5 >= pages)
 """
 
+_CLEAN = _KEYED + """
+, f AS (SELECT DISTINCT result_id, line_no FROM l JOIN hot ON l.site = hot.site AND l.k = hot.k),
+e AS (SELECT result_id, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM (SELECT result_id, string_split(markdown, chr(10)) AS ls FROM scrape_results WHERE markdown IS NOT NULL)),
+c AS (SELECT e.result_id, string_agg(line, chr(10) ORDER BY e.line_no) FILTER (f.line_no IS NULL) AS left_, count(f.line_no) AS gone FROM e LEFT JOIN f ON e.result_id = f.result_id AND e.line_no = f.line_no GROUP BY e.result_id)
+SELECT s.result_id, CASE WHEN s.markdown IS NOT NULL THEN coalesce(left_, '') END AS markdown, coalesce(gone, 0) AS lines_removed FROM scrape_results s LEFT JOIN c ON s.result_id = c.result_id
+"""
+
+_BLOCKS = _KEYED.replace("WITH p AS", "WITH RECURSIVE p AS") + """
+, q AS (SELECT site, result_id, k, lead(k) OVER (PARTITION BY result_id ORDER BY line_no) AS k2 FROM l WHERE k <> ''),
+g AS (
+  SELECT q.site, k AS a, k2 AS b FROM q JOIN n ON q.site = n.site WHERE k2 IS NOT NULL AND (q.site, k) IN (SELECT (site, k) FROM hot) AND (q.site, k2) IN (SELECT (site, k) FROM hot)
+  GROUP BY q.site, k, k2, pages HAVING count(DISTINCT result_id) >= 8 AND count(DISTINCT result_id) * 5 >= pages),
+u AS (SELECT site, a, b FROM g UNION SELECT site, b, a FROM g),
+r AS (SELECT site, k AS a, k AS b FROM hot UNION SELECT r.site, r.a, u.b FROM r JOIN u ON r.site = u.site AND r.b = u.a),
+c AS (SELECT site, a AS k, min(b) AS block FROM r GROUP BY site, a),
+m AS (SELECT l.site, k, count(DISTINCT result_id) AS n FROM l WHERE (l.site, k) IN (SELECT (site, k) FROM hot) GROUP BY l.site, k)
+SELECT c.site, count(*) AS lines, min(n) AS least_pages, max(n) AS most_pages FROM c JOIN m ON c.site = m.site AND c.k = m.k GROUP BY c.site, block
+"""
+
 _WORDS = r"""
 WITH w AS (
   SELECT result_id, list_filter(string_split_regex(lower(markdown), '[ \t\r\n]+'), lambda x: x <> '') AS ws FROM scrape_results WHERE markdown IS NOT NULL),
@@ -119,7 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_kinds": p1_kinds,
     "p2_found": p2_found, "p2_repaired": p2_repaired, "p2_learned": p2_learned,
     "p3_found": p3_found, "p3_groups": p3_groups,
-    "p4_found": p4_found, "p4_clean": p4_clean,
+    "p4_found": p4_found, "p4_clean": p4_clean, "p4_blocks": p4_blocks,
     "p5_found": p5_found, "p5_forms": p5_forms,
     "p6_found": p6_found, "p6_body": p6_body,
     "p7_ids": p7_ids,
@@ -130,5 +153,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "p3_found": _WORDS,
     "p9_found": _SPANS,
+    "p4_blocks": _BLOCKS, "p4_clean": _CLEAN,
     "p4_found": _KEYED + "SELECT result_id, line_no FROM l JOIN hot ON l.site = hot.site AND l.k = hot.k",
 }

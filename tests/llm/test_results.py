@@ -156,6 +156,30 @@ def test_line_blocks(spark):
     assert {r.markdown for r in lines.strip_lines(d).where("result_id < 10").collect()} == {"\nUnique " + chr(97 + i) * 3 + "\n1 2 3" for i in range(10)}
 
 
+def test_edges_make_blocks(spark):
+    """Without the edges blocks fall apart, and an occurrence of two lines becomes none."""
+    rows = [(i, "http://a.test/", f"Menu one\n\nMenu two\nOwn {chr(97 + i) * 3}\nShare\nMore {chr(97 + i) * 4}" if i % 2 else f"Share\nOwn {chr(97 + i) * 3}\nMenu one\nMenu two") for i in range(20)]
+    d = spark.createDataFrame(rows, "result_id long, final_url string, markdown string")
+    keyed = lines.keyed_pages(d)
+    nodes, edges, sites = lines.line_graph(keyed)
+    assert sorted(r.lines for r in lines.site_blocks(d).collect()) == [1, 2]
+    hits = lambda e, alone: {(r.result_id, m.line_no) for r in lines.marked(keyed, lines.line_blocks(nodes, e), sites, alone).collect() for m in r.marks}
+    menu = {(i, k) for i in range(20) for k in ((1, 3) if i % 2 else (3, 4))}
+    share = {(i, 5 if i % 2 else 1) for i in range(20)}
+    assert hits(edges, True) == menu | share == {tuple(r)[:2] for r in lines.boilerplate_lines(d).collect()}
+    assert hits(edges, False) == menu == {tuple(r)[:2] for r in lines.boilerplate_lines(d, alone=False).collect()}
+    assert hits(edges.where("false"), False) == set()
+    assert all("Share" in r.markdown and "Menu" not in r.markdown for r in lines.strip_lines(d, alone=False).collect())
+
+
+def test_large_site_in_parts(spark, monkeypatch):
+    rows = [(i, f"http://{'ab'[i % 4 == 0]}.test/", f"Menu\nOwn {chr(97 + i % 26) * 3} {i}\nLegal") for i in range(200)]
+    d = spark.createDataFrame(rows + rows[:9], "result_id long, final_url string, markdown string")
+    want = {tuple(r)[:2] for r in lines.boilerplate_lines(d).collect()}
+    monkeypatch.setattr(lines, "SITE_ROWS", 7)
+    assert {tuple(r)[:2] for r in lines.boilerplate_lines(d).collect()} == want == {(i, k) for i in range(200) for k in (1, 3)} | {(i, 2) for i in range(0)}
+
+
 # 5
 
 
