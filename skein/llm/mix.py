@@ -3,9 +3,10 @@
 Method: pivotal dependent rounding. Every document of a source gets the same expected
 number of copies; its whole part is certain, its fraction is a probability. Two documents
 with open fractions are paired and token mass is moved between them at random, so that
-one becomes integral (large documents first, so that the last open one is small), while the expected copies of each and the sum of tokens stay as they
+one becomes integral, while the expected copies of each and the sum of tokens stay as they
 were. Buckets of documents are rounded apart; each leaves at most one open document, and
-a reduction tree rounds those.
+a reduction tree rounds those. The last open document of a source is often one of its
+longest; by so much the source may miss its share.
 """
 
 from __future__ import annotations
@@ -53,12 +54,15 @@ def pivotal(p: np.ndarray, w: np.ndarray, rng: np.random.Generator) -> tuple[np.
     return p, held
 
 
-def plan_sizes(sizes: DataFrame, plans: DataFrame, total_tokens: int | None = None) -> DataFrame:
+def plan_sizes(sizes: DataFrame, plans: DataFrame, total_tokens: int | None = None, fit: bool = False) -> DataFrame:
     """One row per (plan, source): tokens there are, tokens wanted and copies per document.
 
-    The total of a plan is total_tokens, or the largest at which every source that has
-    tokens reaches its share within max_repeats. Shares of sources without tokens are
-    spread over the others in proportion. NULL or negative shares and repeats count as 0.
+    The total of a plan is total_tokens, by default all tokens its sources have. A source
+    whose share of that is more than max_repeats copies of it is capped and falls short; the
+    others stay at their share of the total. With fit the total is instead the largest at
+    which no source is capped, however small that makes the plan. Shares of sources without
+    tokens are spread over the others in proportion. NULL or negative shares and repeats
+    count as 0.
     """
     have = sizes.groupBy("source").agg(F.sum("n_tokens").alias("size_tokens"), F.count(F.lit(1)).alias("n_docs"))
     clean = plans.where("plan is not null and source is not null").groupBy("plan", "source").agg(
@@ -68,13 +72,16 @@ def plan_sizes(sizes: DataFrame, plans: DataFrame, total_tokens: int | None = No
     j = clean.join(have, "source", "left").fillna({"size_tokens": 0, "n_docs": 0})
     usable = (F.col("size_tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
     reach = F.min(F.when(F.col("usable"), F.col("max_repeats") * F.col("size_tokens") / F.col("goal")))
+    all_ = F.sum(F.when(F.col("usable"), F.col("size_tokens"))).cast("double")
     j = j.withColumn("usable", usable)
     per = j.groupBy("plan").agg(F.sum(F.when(F.col("usable"), F.col("target_share"))).alias("mass"))
     j = j.join(per, "plan").withColumn("goal", F.when(F.col("usable"), F.col("target_share") / F.col("mass")).otherwise(0.0))
-    tot = j.groupBy("plan").agg((F.lit(float(total_tokens)) if total_tokens is not None else reach).alias("total"))
-    j = j.join(tot, "plan")
-    copies = F.when(F.col("usable"), F.least(F.col("max_repeats").cast("double"), F.col("goal") * F.col("total") / F.col("size_tokens"))).otherwise(0.0)
-    return j.withColumn("copies_each", copies).select("plan", "source", "target_share", "max_repeats", "n_docs", "size_tokens", "copies_each")
+    tot = j.groupBy("plan").agg((reach if fit else all_ if total_tokens is None else F.lit(float(total_tokens))).alias("total"))
+    j = j.join(tot, "plan").withColumn("target_tokens", F.coalesce(F.col("goal") * F.col("total"), F.lit(0.0)))
+    need = F.col("target_tokens") / F.col("size_tokens")
+    j = j.withColumn("capped", F.coalesce(F.col("usable") & (need > F.col("max_repeats") + EPS), F.lit(False)))
+    copies = F.when(F.col("usable"), F.least(F.col("max_repeats").cast("double"), need)).otherwise(0.0)
+    return j.withColumn("copies_each", copies).select("plan", "source", "target_share", "max_repeats", "n_docs", "size_tokens", "target_tokens", "capped", "copies_each")
 
 
 def _node(level: int, seed: int):
@@ -92,15 +99,18 @@ def _node(level: int, seed: int):
 _NODE = "plan string, source string, doc_id bigint, n_tokens bigint, whole int, p double, bucket bigint, order bigint, open boolean"
 
 
-def mix(documents: DataFrame, plans: DataFrame, seed: int = 7, total_tokens: int | None = None, tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, plans: DataFrame, seed: int = 7, total_tokens: int | None = None, fit: bool = False, tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(copies, shares) of every plan.
 
     copies: plan, source, doc_id, n_tokens, copies (> 0). shares: one row per plan and
-    source with the tokens and the share reached. Documents without tokens (NULL or empty
-    text) or without source are in no mix; repeated doc_ids are separate documents.
+    source with the tokens wanted (target_tokens), whether the cap on repeats keeps the source
+    below them (capped), the tokens and the share of the mix reached. A source that is not
+    capped is off by less than its last open document; one that would come out empty gives
+    its smallest document. Documents without tokens (NULL or empty text) or without source
+    are in no mix; repeated doc_ids are separate documents. For the total see plan_sizes().
     """
     sizes = materialize(token_counts(documents.where("source is not null"), ["doc_id", "source"], tokenizer=tokenizer, folder=folder).where("n_tokens > 0"), "mix-sizes")
-    want = materialize(plan_sizes(sizes, plans, total_tokens), "mix-plans")
+    want = materialize(plan_sizes(sizes, plans, total_tokens, fit), "mix-plans")
     each = sizes.join(want.where("copies_each > 0").select("plan", "source", "copies_each", "n_docs"), "source").select(
         "plan", "source", "doc_id", "n_tokens",
         F.floor(F.col("copies_each") + EPS).cast("int").alias("whole"),
@@ -125,11 +135,14 @@ def mix(documents: DataFrame, plans: DataFrame, seed: int = 7, total_tokens: int
     for more in done[1:]:
         all_ = all_.unionByName(more)
     copies = all_.select("plan", "source", "doc_id", "n_tokens", (F.col("whole") + F.round("p").cast("int")).alias("copies")).where("copies > 0")
+    none = want.where("copies_each > 0").select("plan", "source").join(copies.select("plan", "source").distinct(), ["plan", "source"], "left_anti")
+    least = sizes.groupBy("source").agg(F.min(F.struct("n_tokens", "doc_id")).alias("d"))
+    copies = copies.unionByName(none.join(least, "source").select("plan", "source", "d.doc_id", "d.n_tokens", F.lit(1).alias("copies")))
     got = copies.groupBy("plan", "source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"), F.max("copies").alias("most_copies"))
     total = got.groupBy("plan").agg(F.sum("tokens").alias("plan_tokens"))
     shares = (
         want.join(got, ["plan", "source"], "left").join(total, "plan", "left").fillna({"tokens": 0, "most_copies": 0})
-        .select("plan", "source", "target_share", "max_repeats", "n_docs", "size_tokens", "copies_each", "tokens", "most_copies",
+        .select("plan", "source", "target_share", "max_repeats", "n_docs", "size_tokens", "target_tokens", "capped", "copies_each", "tokens", "most_copies",
                 F.coalesce(F.col("tokens") / F.col("plan_tokens"), F.lit(0.0)).alias("share"))
     )
     return copies, shares

@@ -288,15 +288,34 @@ def test_mix(spark, monkeypatch):
     rows = [(i, "word " * (1 + i % 7), "big" if i % 3 else "small") for i in range(900)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
     m = spark.createDataFrame([("p", "big", 0.4, 2), ("p", "small", 0.6, 3)], "plan string, source string, target_share double, max_repeats int")
-    copies, shares = mix.mix(d, m)
+    copies, shares = mix.mix(d, m, fit=True)
     s = {r.source: r for r in shares.collect()}
     # the plan grows until big needs both of its repeats
     assert abs(s["small"].share - 0.6) < 0.005 and abs(s["big"].share - 0.4) < 0.005 and s["small"].most_copies <= 3 and s["big"].most_copies <= 2
     assert max(s[x].copies_each / s[x].max_repeats for x in s) == pytest.approx(1.0)
-    again = {tuple(r) for r in mix.mix(d, m)[0].collect()}
+    again = {tuple(r) for r in mix.mix(d, m, fit=True)[0].collect()}
     assert {tuple(r) for r in copies.collect()} == again
 
 
+@pytest.mark.parametrize("total", [None, 200_000, 9_000])
+def test_shares_of_plans(spark, total):
+    """Every source that is not capped is within one of its documents of its share of the total; none with documents and a share is empty."""
+    t = lambda n: spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/{n}.parquet")
+    copies, shares = mix.mix(t("documents"), t("mix_plans"), total_tokens=total)
+    largest = {r.source: r.n for r in tokens.token_counts(t("documents"), ["source"]).groupBy("source").agg(F.max("n_tokens").alias("n")).collect()}
+    seen = 0
+    for r in shares.collect():
+        assert r.most_copies <= r.max_repeats
+        if r.size_tokens and r.target_share > 0 and r.max_repeats:
+            seen += 1
+            assert r.tokens > 0
+            if r.capped:
+                assert r.tokens == r.max_repeats * r.size_tokens < r.target_tokens
+            else:
+                assert abs(r.tokens - r.target_tokens) <= largest[r.source], r
+    assert seen > 20
+
+
 # 9
 
 
