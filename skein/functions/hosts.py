@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,27 @@ BLOCKED_IPV4 = (
     ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24),
     ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
 )
+#: IPv6: unspecified, loopback, link-local and unique local addresses.
 BLOCKED_IPV6 = r"^(?:::1?|fe[89ab].*|f[cd].*)$"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
-IPV6 = r"^[0-9a-fA-F:]*:[0-9a-fA-F:.]*$"
+_V4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
+IPV4 = rf"^{_V4}$"
+
+
+def _ipv6() -> str:
+    """Every written form of an address: eight groups, or fewer around one gap; the last two may be dotted; a zone may follow."""
+    h = "[0-9a-f]{1,4}"
+    forms = [rf"(?:{h}:){{7}}{h}", rf"(?:{h}:){{6}}{_V4}"]
+    for left in range(8):
+        head = rf"{h}(?::{h}){{{left - 1}}}" if left else ""
+        for right in range(8 - left):
+            forms.append(head + "::" + (rf"{h}(?::{h}){{{right - 1}}}" if right else ""))
+        for right in range(6 - left):
+            forms.append(head + "::" + rf"(?:{h}:){{{right}}}{_V4}")
+    return "^(?:" + "|".join(forms) + ")(?:%[0-9a-z._~-]+)?$"
+
+
+IPV6 = _ipv6()
 
 
 def _number(ip: str) -> int:
@@ -39,11 +58,23 @@ def _blocked_v4(n: Column) -> Column:
 
 
 def is_blocked(ip: Column) -> Column:
-    """Whether an address is not public; unknown formats and NULL are blocked, mapped dotted IPv4 is unwrapped."""
+    """Whether an address is not public; what is no valid address is blocked, and so is NULL. Mapped dotted IPv4 is unwrapped."""
     low = F.lower(ip)
     inner = F.regexp_extract(low, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
     v6 = low.rlike(BLOCKED_IPV6) | F.coalesce(F.when(inner != "", _blocked_v4(ipv4_number(inner))), F.lit(False))
-    return F.coalesce(F.when(ip.rlike(IPV4), _blocked_v4(ipv4_number(ip))).when(ip.rlike(IPV6), v6), F.lit(True))
+    return F.coalesce(F.when(ip.rlike(IPV4), _blocked_v4(ipv4_number(ip))).when(low.rlike(IPV6), v6), F.lit(True))
+
+
+def blocked(ip: str | None) -> bool:
+    """is_blocked() of one address, for fetchers."""
+    low = (ip or "").lower()
+    if re.match(IPV4, low):
+        n = _number(low)
+        return any(_number(base) <= n < _number(base) + (1 << 32 - bits) for base, bits in BLOCKED_IPV4)
+    if not re.match(IPV6, low):
+        return True
+    inner = re.match(r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", low)
+    return bool(re.match(BLOCKED_IPV6, low)) or bool(inner and blocked(inner.group(1)))
 
 
 def public_hosts(hosts: DataFrame, resolved: DataFrame) -> DataFrame:

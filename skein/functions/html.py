@@ -24,10 +24,12 @@ _SPACE = re.compile(r"[ \t\r\n\f]+")
 
 
 class Node:
-    __slots__ = ("attrs", "kids", "parent", "tag")
+    __slots__ = ("attrs", "block", "kids", "linked", "parent", "size", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
         self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
+        self.size = self.linked = 0
+        self.block = tag in _BLOCK
 
     def walk(self) -> Iterator[Node]:
         todo = [self]
@@ -118,11 +120,30 @@ def _strip(root: Node) -> None:
         n.kids = [k for k in n.kids if isinstance(k, str) or not _dropped(k)]
 
 
-def _article(root: Node) -> Node | None:
+def _measure(root: Node) -> list[Node]:
+    """All nodes in document order, each with the length of its text, of the linked part of it, and whether it holds a block."""
+    order = list(root.walk())
+    for n in reversed(order):
+        n.size = n.linked = 0
+        n.block = n.tag in _BLOCK
+        for k in n.kids:
+            if isinstance(k, str):
+                n.size += len(k)
+                continue
+            n.block = n.block or k.block
+            if k.tag not in _SKIP:
+                n.size += k.size
+                n.linked += k.linked
+        if n.tag == "a":
+            n.linked = n.size
+    return order
+
+
+def _article(order: list[Node]) -> Node | None:
     """The node that holds most running text: paragraphs count for their parent and half for the one above."""
     score: dict[int, tuple[float, Node]] = {}
-    for n in root.walk():
-        if n.tag not in ("p", "pre", "td", "blockquote"):
+    for n in order:
+        if n.tag not in ("p", "pre", "td", "blockquote") or n.size < 25:
             continue
         t = n.text().strip()
         if len(t) < 25:
@@ -135,9 +156,7 @@ def _article(root: Node) -> Node | None:
             score[id(up)] = (s + points * part, up)
     best, top = None, 0.0
     for s, n in score.values():
-        t = len(n.text().strip()) or 1
-        linked = sum(len(a.text()) for a in n.walk() if a.tag == "a")
-        s *= 1 - min(1.0, linked / t)
+        s *= 1 - min(1.0, n.linked / (n.size or 1))
         if s > top:
             best, top = n, s
     return best
@@ -180,7 +199,7 @@ def _blocks(n: Node) -> list[str]:
         run.clear()
 
     for k in n.kids:
-        if isinstance(k, str) or (k.tag not in _BLOCK and not any(x.tag in _BLOCK for x in k.walk())):
+        if isinstance(k, str) or not k.block:
             run.append(_inline(k))
             continue
         flush()
@@ -215,7 +234,7 @@ def _blocks(n: Node) -> list[str]:
 def _wrap(n: Node) -> Node:
     w = Node("div", {}, None)
     w.kids = [n]
-    return w
+    return w  # a block whatever it holds
 
 
 def page_content(html: str | None) -> dict:
@@ -225,12 +244,13 @@ def page_content(html: str | None) -> dict:
     b.close()
     title = _SPACE.sub(" ", "".join(b.title)).strip()
     _strip(b.root)
-    best = _article(b.root)
+    order = _measure(b.root)
+    best = _article(order)
     if best is None:
-        home = next((n for n in b.root.walk() if n.tag in ("main", "article")), None) or next((n for n in b.root.walk() if n.tag == "body"), b.root)
+        home = next((n for n in order if n.tag in ("main", "article")), None) or next((n for n in order if n.tag == "body"), b.root)
         text = home.text().strip()
         return {"title": title or None, "markdown": text, "text": text, "hrefs": b.hrefs}
-    heads = [n for n in b.root.walk() if n.tag == "h1"]
+    heads = [n for n in order if n.tag == "h1"]
     lead = "" if not heads or any(n is heads[0] for n in best.walk()) else f"# {' '.join(heads[0].text().split())}\n\n"
     return {"title": title or None, "markdown": (lead + "\n\n".join(_blocks(best))).strip(), "text": best.text().strip(), "hrefs": b.hrefs}
 
@@ -244,17 +264,25 @@ def content(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([page_content(h) for h in html], columns=["title", "markdown", "text", "hrefs"])
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def hrefs(html: pd.Series) -> pd.Series:
-    """The hrefs alone, without building article and markdown."""
+class _Hrefs(HTMLParser):
+    """The hrefs of a page's anchors in order, without a tree."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.found: list[str] = []
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "a":
+            href = next((v for k, v in attrs if k == "href"), None)
+            if href:
+                self.found.append(href)
 
-    def one(h: str | None) -> list[str]:
-        b = _Builder()
-        b.feed(h or "")
-        b.close()
-        return b.hrefs
 
-    return html.map(one)
+def page_hrefs(html: str | None) -> list[str]:
+    p = _Hrefs()
+    p.feed(html or "")
+    p.close()
+    return p.found
 
 
 def raw_title(html: Column) -> Column:
@@ -273,11 +301,31 @@ def anchors_native(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit(r'<a\s[^>]*href="([^"]*)"'), F.lit(1))
 
 
+_LINK = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("link", T.StringType())]))
+
+
+@F.pandas_udf(_LINK)
+def page_links(base: pd.Series, html: pd.Series) -> pd.Series:
+    """(pos, link) of the absolute links of each page: every distinct address once, at its first place."""
+    from skein.functions.urls import resolve
+
+    out = []
+    for at, h in zip(base, html, strict=True):
+        seen: dict[str, int] = {}
+        for i, href in enumerate(page_hrefs(h)):
+            link = resolve(at, href)
+            if link is not None:
+                seen.setdefault(link, i)
+        out.append([{"pos": i, "link": link} for link, i in seen.items()])
+    return pd.Series(out, dtype=object)
+
+
 def links(pages: DataFrame, url: str = "final_url", html: str = "html", carry: tuple[str, ...] = ("result_id",)) -> DataFrame:
-    """(carry..., pos, link): absolute http(s) links of each page in order, first occurrence of each kept."""
-    from skein.functions.urls import resolve_url
+    """(carry..., pos, link): absolute http(s) links of each page in order, first occurrence of each kept.
+
+    Repeats are dropped where the page is read, so nothing is shuffled.
+    """
     from skein.sources.stores import spread
 
-    each = spread(pages).select(*carry, F.col(url).alias("base"), hrefs(F.col(html)).alias("hrefs"))
-    flat = each.select(*carry, "base", F.posexplode("hrefs").alias("pos", "href")).select(*carry, "pos", resolve_url("base", "href").alias("link")).where("link is not null")
-    return flat.groupBy(*carry, "link").agg(F.min("pos").alias("pos"))
+    each = spread(pages.select(*dict.fromkeys([*carry, url, html]))).select(*carry, F.explode(page_links(F.col(url), F.col(html))).alias("_l"))
+    return each.select(*carry, F.col("_l.pos").alias("pos"), F.col("_l.link").alias("link"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import math
 import re
+import sys
+import threading
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -35,10 +38,10 @@ class Validator:
         if not isinstance(schema, (dict, bool)):
             raise SchemaError("a schema is an object or a boolean")
         self.root = schema
-        self._check(schema, 0)
+        self._check(schema)
 
-    def _check(self, s, depth: int) -> None:
-        if depth > 200 or isinstance(s, bool):
+    def _check(self, s) -> None:
+        if isinstance(s, bool):
             return
         if not isinstance(s, dict):
             raise SchemaError("a subschema is an object or a boolean")
@@ -57,13 +60,13 @@ class Validator:
             if k in s and not isinstance(s[k], dict):
                 raise SchemaError(f"{k} is an object")
             for sub in s.get(k, {}).values():
-                self._check(sub, depth + 1)
+                self._check(sub)
         for k in ("allOf", "anyOf", "oneOf"):
             for sub in s.get(k, []):
-                self._check(sub, depth + 1)
+                self._check(sub)
         for k in ("items", "additionalProperties", "not"):
             if k in s:
-                self._check(s[k], depth + 1)
+                self._check(s[k])
 
     def _find(self, ref: str):
         if not isinstance(ref, str) or not ref.startswith("#"):
@@ -78,13 +81,16 @@ class Validator:
                 raise SchemaError(f"cannot follow {ref!r}")
         return at
 
-    def valid(self, v, s=None, depth: int = 0) -> bool:
+    def valid(self, v, s=None, under: tuple = ()) -> bool:
+        """Whether v conforms; values of any depth. A $ref that leads back to itself at the same value adds nothing."""
         s = self.root if s is None else s
         if isinstance(s, bool):
             return s
-        if depth > 200:
-            return False
-        sub = lambda x, y: self.valid(x, y, depth + 1)
+        if (id(s), id(v)) in under:
+            return True
+        # only references at one and the same value can go round in circles
+        here = (*(x for x in under if x[1] == id(v)), (id(s), id(v)))
+        sub = lambda x, y: self.valid(x, y, here if x is v else ())
         if "$ref" in s and not sub(v, self._find(s["$ref"])):
             return False
         kinds = s.get("type")
@@ -135,6 +141,29 @@ class Validator:
         return all(sub(v, x) for x in s.get("allOf", [])) and ("anyOf" not in s or any(sub(v, x) for x in s["anyOf"])) and ("oneOf" not in s or sum(sub(v, x) for x in s["oneOf"]) == 1)
 
 
+def _with_deep_stack(f: Callable[[], bool]) -> bool:
+    """f in a thread whose stack holds values of a depth beyond the interpreter's usual limit; False for no JSON."""
+    out: list[bool] = []
+
+    def run() -> None:
+        try:
+            out.append(f())
+        except ValueError:
+            out.append(False)
+
+    limit, size = sys.getrecursionlimit(), threading.stack_size()
+    try:
+        sys.setrecursionlimit(400_000)
+        threading.stack_size(512 << 20)
+        t = threading.Thread(target=run)
+        t.start()
+        t.join()
+    finally:
+        sys.setrecursionlimit(limit)
+        threading.stack_size(size)
+    return out[0]
+
+
 def conforms(schema: dict):
     """A Column function: whether JSON text conforms; text that is no JSON does not, NULL stays NULL."""
     check = Validator(schema)  # a bad schema fails here, before any row is read
@@ -148,6 +177,8 @@ def conforms(schema: dict):
                 return check.valid(json.loads(t))
             except ValueError:
                 return False
+            except RecursionError:
+                return _with_deep_stack(lambda: check.valid(json.loads(t)))
 
         return texts.map(one).astype(object)
 

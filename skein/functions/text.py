@@ -20,7 +20,7 @@ def script_trim(c: Column) -> Column:
 
 def utf16_length(c: Column) -> Column:
     """Length in UTF-16 units; characters beyond the basic plane count twice."""
-    return F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]+", ""))
+    return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 
 
 def strip_headings(c: Column) -> Column:

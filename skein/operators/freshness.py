@@ -1,8 +1,8 @@
-"""Freshness of scraped pages: serving decisions, watched tiers, due pages.
+"""Freshness of scraped pages: serving decisions, watched tiers, due pages, stored records.
 
-Requests are rows (url, seq order, ts, tier, ok). A serving decision depends on when the
-page was last fetched, so requests of one URL are folded in order: replay() by a native
-aggregate over the URL's sorted requests, replay_sorted() row by row for hot URLs.
+Requests are rows (url, seq, ts, tier, ok). A serving decision depends on when the page was
+last fetched, so the requests of a URL are folded one after another in the order of (ts,
+seq), in batch and stream alike.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skein.sources.stores import Blobs, freshness_key
+
 # Seconds a page of a tier may be old, and whether it is fetched again unasked.
 TIERS = {"news": (3600, True), "standard": (86400, False)}
 
@@ -27,64 +29,59 @@ def within_sla(crawled_at: Column, now: Column, max_seconds: Column) -> Column:
     return F.unix_millis(now) - F.unix_millis(crawled_at) <= max_seconds * 1000
 
 
-def replay(requests: DataFrame) -> DataFrame:
-    """(url, seq, decision, crawled_at): what each request is served.
-
-    requests: url, seq, ts, max_seconds, ok. hit: cached and fresh for the requested tier,
-    nothing is fetched. fetch: fetched (cache missing or stale). stale: fetch failed, the
-    old copy is served. error: fetch failed and nothing was cached. unknown: no such tier
-    (max_seconds NULL); changes nothing.
-    """
-    item = F.struct("seq", F.unix_millis(F.col("ts")).alias("at"), F.col("max_seconds").cast("bigint").alias("limit"), F.coalesce(F.col("ok"), F.lit(False)).alias("ok"))
-    per = requests.groupBy("url").agg(F.array_sort(F.collect_list(item)).alias("reqs"))
-    zero = F.struct(F.lit(None).cast("bigint").alias("crawled"), F.expr("cast(array() as array<struct<seq:bigint,decision:string,crawled:bigint>>)").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        fresh = acc["crawled"].isNotNull() & (r["at"] - acc["crawled"] <= r["limit"] * 1000)
-        decision = F.when(r["limit"].isNull(), "unknown").when(fresh, "hit").when(r["ok"], "fetch").when(acc["crawled"].isNotNull(), "stale").otherwise("error")
-        crawled = F.when(decision == "fetch", r["at"]).otherwise(acc["crawled"])
-        row = F.struct(r["seq"].cast("bigint").alias("seq"), decision.alias("decision"), crawled.alias("crawled"))
-        return F.struct(crawled.alias("crawled"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-    folded = per.select("url", F.aggregate("reqs", zero, step)["out"].alias("out"))
-    return folded.select("url", F.explode("out").alias("o")).select("url", "o.seq", "o.decision", F.timestamp_millis("o.crawled").alias("crawled_at"))
-
-
+#: A refetch of a stale page that takes longer is not waited for.
+RACE_MS = 15_000
 _STEP = "url string, seq bigint, decision string, crawled_ms bigint"
 
 
-def decide(crawled: int | None, at: int, limit: int | None, ok: bool) -> tuple[str, int | None]:
-    """One step of the fold; times in milliseconds."""
+def decide(crawled: int | None, landing: list[int], at: int, limit: int | None, ok: bool, latency: int = 0) -> tuple[str, int | None, list[int]]:
+    """One step of the fold: (decision, when the copy was crawled, refetches under way); times in milliseconds."""
+    landed = [x for x in landing if x <= at]
+    if landed:
+        crawled, landing = max(landed), [x for x in landing if x > at]
     if limit is None:
-        return "unknown", crawled
+        return "unknown", crawled, landing
     if crawled is not None and at - crawled <= limit * 1000:
-        return "hit", crawled
+        return "hit", crawled, landing
+    if crawled is not None and latency > RACE_MS:
+        return "stale", crawled, [*landing, at + latency] if ok else landing
     if ok:
-        return "fetch", at
-    return ("stale" if crawled is not None else "error"), crawled
+        return "fetch", at, landing
+    return ("stale" if crawled is not None else "error"), crawled, landing
 
 
-def replay_sorted(requests: DataFrame) -> DataFrame:
-    """The rows of replay() for URLs with any number of requests.
+def fold_columns(requests: DataFrame) -> DataFrame:
+    """(url, seq, at, limit, ok, latency) of requests; latency_ms is optional."""
+    late = F.coalesce(F.col("latency_ms"), F.lit(0)) if "latency_ms" in requests.columns else F.lit(0)
+    return requests.select("url", F.col("seq").cast("bigint").alias("seq"), F.unix_millis(F.col("ts")).alias("at"), F.col("max_seconds").cast("bigint").alias("limit"), F.coalesce(F.col("ok"), F.lit(False)).alias("ok"), late.cast("bigint").alias("latency"))
 
-    A URL's requests lie sorted in one partition and are read one after another, so a hot
-    URL costs time in its task but no memory.
+
+def replay(requests: DataFrame) -> DataFrame:
+    """(url, seq, decision, crawled_at): what each request is served.
+
+    requests: url, seq, ts, max_seconds, ok, and latency_ms of the fetch or none. hit: cached
+    and fresh for the requested tier, nothing is fetched. fetch: fetched (cache missing or
+    stale). stale: the fetch failed or took more than 15 s, the old copy is served; a slow
+    fetch that succeeds is written back when it ends. error: the fetch failed and nothing
+    was cached. unknown: no such tier (max_seconds NULL); changes nothing. A URL's requests
+    lie sorted in one partition and are read one after another, so a hot URL costs time in
+    its task but no memory.
     """
-    cols = requests.select("url", F.col("seq").cast("bigint").alias("seq"), F.unix_millis(F.col("ts")).alias("at"), F.col("max_seconds").cast("bigint").alias("limit"), F.coalesce(F.col("ok"), F.lit(False)).alias("ok"))
 
     def run(batches):
         import pandas as pd
 
-        last, crawled = None, None
+        last, crawled, landing = None, None, []
         for b in batches:
             out = []
-            for url, seq, at, limit, ok in zip(b["url"], b["seq"], b["at"], b["limit"], b["ok"], strict=True):
+            for url, seq, at, limit, ok, late in zip(b["url"], b["seq"], b["at"], b["limit"], b["ok"], b["latency"], strict=True):
                 if url != last:
-                    last, crawled = url, None
-                kind, crawled = decide(crawled, int(at), None if pd.isna(limit) else int(limit), bool(ok))
+                    last, crawled, landing = url, None, []
+                kind, crawled, landing = decide(crawled, landing, int(at), None if pd.isna(limit) else int(limit), bool(ok), int(late))
                 out.append((url, seq, kind, crawled))
             yield pd.DataFrame(out, columns=["url", "seq", "decision", "crawled_ms"]).astype({"crawled_ms": "Int64"})
 
+    cols = fold_columns(requests).where("url is not null and at is not null")
     return cols.repartition("url").sortWithinPartitions("url", "at", "seq").mapInPandas(run, _STEP).select("url", "seq", "decision", F.timestamp_millis("crawled_ms").alias("crawled_at"))
 
 
@@ -121,7 +118,7 @@ def due(state: DataFrame, now: Column) -> DataFrame:
 
 def lookup(requests: DataFrame, state: DataFrame) -> DataFrame:
     """requests with the cached record; content that is no JSON object with a string markdown is a miss."""
-    ok = F.try_variant_get(F.try_parse_json("content"), "$.markdown", "string").isNotNull()
+    ok = F.schema_of_variant(F.try_variant_get(F.try_parse_json("content"), "$.markdown", "variant")) == "STRING"
     return requests.join(state.where(ok), "url", "left")
 
 
@@ -130,3 +127,27 @@ def delete(state: DataFrame, urls: DataFrame) -> tuple[DataFrame, DataFrame]:
     u = urls.select("url").distinct()
     there = state.select("url").distinct().withColumn("existed", F.lit(True))
     return state.join(u, "url", "left_anti"), u.join(there, "url", "left").fillna({"existed": False})
+
+
+def record_composite(bodies: Blobs, state: DataFrame, records: DataFrame) -> DataFrame:
+    """The metadata after recorded fetches whose bodies are stored apart, body first.
+
+    records: as for tighten(), content being the page as JSON. The body is there before any
+    metadata names it; a failure between both leaves a body that nothing names.
+    """
+    last = records.where(tier_column(F.col("tier"), 0).isNotNull()).groupBy("url").agg(F.max_by("content", "seq").alias("body"))
+    bodies.put(last.select(freshness_key(F.col("url")).alias("key"), "body"))
+    return merge_state(state, records).withColumn("content", F.lit(None).cast("string"))
+
+
+def lookup_composite(bodies: Blobs, requests: DataFrame, state: DataFrame) -> DataFrame:
+    """lookup() over metadata and bodies: a missing body is a miss, as is one that is no page."""
+    keys = state.select(freshness_key(F.col("url")).alias("key"))
+    found = state.drop("content").withColumn("key", freshness_key(F.col("url"))).join(bodies.get(keys).withColumnRenamed("body", "content"), "key").drop("key")
+    return lookup(requests, found)
+
+
+def delete_composite(bodies: Blobs, state: DataFrame, urls: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """delete() with the bodies going first, so that a failure can be repeated; bodies without metadata go too."""
+    bodies.delete(urls.select(freshness_key(F.col("url")).alias("key")))
+    return delete(state, urls)

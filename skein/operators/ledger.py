@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TIERS = ("static", "headless", "stealth", "search", "extraction", "cache")
-
-
 def attempts(results: DataFrame) -> DataFrame:
     """(result_id, attempt, tier, success): one row per recorded attempt, in order; NULL or empty lists give none."""
     return results.select("result_id", F.posexplode("attempts").alias("attempt", "a")).select("result_id", "attempt", "a.tier", "a.success")

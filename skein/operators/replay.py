@@ -35,3 +35,11 @@ def extraction_differences(captured: DataFrame, replayed: DataFrame, key: str =
     differs = ~F.col("was").eqNullSafe(F.col("is_"))
     model = F.when((F.col("was_model") != "") & (F.col("was_model") != F.col("is_model")), F.concat(F.lit("extraction model changed ("), "was_model", F.lit(" -> "), "is_model", F.lit(")")))
     return a.join(b, key).select(key, differs.alias("data_differs"), F.array_compact(F.array(model, F.when(differs, F.lit("extraction_llm_nondeterministic")))).alias("notes"))
+
+
+def replayable(request_ids: DataFrame, captured: DataFrame, crawl_pages: DataFrame) -> DataFrame:
+    """request_ids with error_kind: not_found without a capture, crawl_page for a page of a crawl (only requests of their own can be replayed)."""
+    there = captured.select("request_id").distinct().withColumn("_there", F.lit(True))
+    of_crawl = crawl_pages.where("request_id is not null").select("request_id").distinct().withColumn("_crawl", F.lit(True))
+    j = request_ids.select("request_id").distinct().join(there, "request_id", "left").join(of_crawl, "request_id", "left")
+    return j.select("request_id", F.when(F.col("_there").isNull(), "not_found").when(F.col("_crawl"), "crawl_page").alias("error_kind"))

@@ -80,29 +80,23 @@ def page_content(spark, d):
     return stores.spread(table(spark, d, "scrape_results").select("result_id", "html")).select("result_id", H.content(F.col("html")).alias("c")).select("result_id", "c.title", "c.markdown", "c.text")
 
 
-@query()
-def links_full(spark, d):
-    return H.links(table(spark, d, "scrape_results").where("final_url is not null"))
-
-
+# every href of the tables is root-relative or absolute; other forms are covered by the link cases of skein.plans.cases
 _LINKS = r"""
 WITH a AS (SELECT result_id, crawl_id, final_url, regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1) AS hs FROM scrape_results WHERE final_url IS NOT NULL),
 e AS (SELECT result_id, crawl_id, final_url, unnest(hs) AS href, unnest(range(len(hs))) AS pos FROM a),
-r AS (SELECT result_id, crawl_id, final_url, pos, """ + _ORIGIN.format(u="final_url") + r""" || regexp_replace(href, '#.*$', '') AS link FROM e WHERE href LIKE '/%'),
-l AS (SELECT result_id, crawl_id, final_url, link, min(pos) AS pos FROM r GROUP BY ALL)
+r AS (SELECT result_id, crawl_id, final_url, pos, CASE WHEN regexp_matches(href, '^(?i)https?://') THEN regexp_replace(href, '#.*$', '') WHEN href LIKE '/%' THEN """ + _ORIGIN.format(u="final_url") + r""" || regexp_replace(href, '#.*$', '') END AS link FROM e),
+l AS (SELECT result_id, crawl_id, final_url, link, min(pos)::INT AS pos FROM r WHERE link IS NOT NULL GROUP BY ALL)
 """
 
 
-def _native_links(spark, d):
-    t = table(spark, d, "scrape_results").where("final_url is not null")
-    each = t.select("result_id", "crawl_id", "final_url", F.posexplode(H.anchors_native(F.col("html"))).alias("pos", "href")).where(F.col("href").startswith("/"))
-    link = F.concat(urls.origin(F.col("final_url")), urls.without_fragment(F.col("href")))
-    return each.withColumn("link", link).groupBy("result_id", "crawl_id", "final_url", "link").agg(F.min("pos").cast("bigint").alias("pos"))
+def _links(spark, d):
+    t = table(spark, d, "scrape_results").where("final_url is not null").select("result_id", "crawl_id", "final_url", "html")
+    return H.links(t, carry=("result_id", "crawl_id", "final_url"))
 
 
 @query(_LINKS + "SELECT result_id, link, pos FROM l")
-def links_native(spark, d):
-    return _native_links(spark, d).select("result_id", "link", "pos")
+def links_full(spark, d):
+    return _links(spark, d).select("result_id", "link", "pos")
 
 
 _RX = r"list_transform({p}, lambda x: '^' || replace(replace(x, '/**', '(?:/[^/.][^/]*)*/?'), '*', '[^/.][^/]*') || '$')"
@@ -114,16 +108,10 @@ WHERE (coalesce(len(inc), 0) = 0 OR len(list_filter(inc, lambda x: regexp_matche
   AND len(list_filter(coalesce(exc, []), lambda x: regexp_matches(p, CASE WHEN x LIKE '%/**' THEN '^' || replace(x, '/**', '/') || '(?:[^/.][^/]*(?:/[^/.][^/]*)*/?)?$' ELSE '^' || replace(x, '*', '[^/.][^/]*') || '$' END))) = 0""")
 def links_within_bounds(spark, d):
     jobs = table(spark, d, "crawl_jobs").dropDuplicates(["id"]).select(F.col("id").alias("crawl_id"), urls.globs_to_regexes("include_patterns").alias("inc"), urls.globs_to_regexes("exclude_patterns").alias("exc"))
-    j = _native_links(spark, d).join(jobs, "crawl_id")
+    j = _links(spark, d).join(jobs, "crawl_id")
     return j.where(urls.allowed_by(urls.path(F.col("link")), F.col("inc"), F.col("exc"))).select("result_id", "link")
 
 
-@query(_LINKS + "SELECT result_id, count(*) AS links, count(*) FILTER (" + _HOST.format(u="link") + " = " + _HOST.format(u="final_url") + ") AS same_host FROM l GROUP BY result_id")
-def links_same_host(spark, d):
-    same = urls.host(F.col("link")) == urls.host(F.col("final_url"))
-    return _native_links(spark, d).groupBy("result_id").agg(F.count(F.lit(1)).alias("links"), F.count_if(same).alias("same_host"))
-
-
 @query(_LINKS + """
 , p AS (SELECT DISTINCT id, crawl_id, url FROM crawl_pages),
 have AS (SELECT crawl_id, count(*) AS n FROM p GROUP BY crawl_id),
@@ -131,7 +119,7 @@ f AS (SELECT crawl_id, link, min(struct_pack(a := result_id, b := pos)) AS f FRO
 new AS (SELECT f.*, row_number() OVER (PARTITION BY f.crawl_id ORDER BY f.f.a, f.f.b) AS rank FROM f WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.crawl_id = f.crawl_id AND p.url = f.link))
 SELECT new.crawl_id, link AS url, rank FROM new JOIN have ON new.crawl_id = have.crawl_id JOIN crawl_jobs j ON j.id = new.crawl_id WHERE rank <= greatest(max_pages - n, 0)""")
 def crawl_admitted_links(spark, d):
-    found = _native_links(spark, d).where("crawl_id is not null").select("crawl_id", F.col("link").alias("url"), F.lit(1).alias("depth"), F.col("result_id").alias("parent_seq"), "pos")
+    found = _links(spark, d).where("crawl_id is not null").select("crawl_id", F.col("link").alias("url"), F.lit(1).alias("depth"), F.col("result_id").alias("parent_seq"), "pos")
     pages = table(spark, d, "crawl_pages").select("id", "crawl_id", "url").dropDuplicates(["id"]).withColumn("seq", F.lit(0).cast("bigint"))
     return frontier.admit(found, pages, table(spark, d, "crawl_jobs")).select("crawl_id", "url", F.col("seq").alias("rank"))
 
@@ -142,7 +130,7 @@ def crawl_graph(spark, d):
     # the tables hold no root pages, so every crawl starts from its least address
     start = t.where("crawl_id is not null").groupBy(F.col("crawl_id").alias("id")).agg(F.min("final_url").alias("root_url"))
     jobs = table(spark, d, "crawl_jobs").drop("root_url").join(start, "id")
-    return frontier.crawl(jobs, t.select(F.col("final_url").alias("url"), "final_url", "html"))
+    return frontier.crawl(jobs, frontier.corpus_scrape(t.select(F.col("final_url").alias("url"), "final_url", "html")))
 
 
 _STATUS = "count(*) FILTER (status = 'success') AS success, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'paused') AS paused"
@@ -238,12 +226,16 @@ w AS (SELECT *, want AND h_ok AND (NOT s_ok OR {_U.format(c="ht")} > {_U.format(
 SELECT url, CASE WHEN wins THEN 'headless' WHEN s_ok THEN 'static' END AS tier, CASE WHEN NOT wins AND NOT s_ok THEN 'all_tiers_failed' END AS error_kind,
        'static:' || s_ok || CASE WHEN want THEN ',headless:' || h_ok ELSE '' END AS tried, md5(CASE WHEN wins THEN ht WHEN s_ok THEN st END) AS body FROM w""")
 def scrape_two_tiers(spark, d):
-    t = table(spark, d, "scrape_results").where("final_url is not null")
-    s = t.where("status_code < 300 and text is not null").groupBy(F.col("final_url").alias("url")).agg(F.min_by("text", "result_id").alias("text"))
-    h = t.where("tier_used = 'headless' and markdown is not null").groupBy(F.col("final_url").alias("url")).agg(F.min_by("markdown", "result_id").alias("text"))
-    out = stores.scrape_tiers(t.select(F.col("final_url").alias("url")).distinct(), s, h)
+    t = table(spark, d, "scrape_results").where("final_url is not null").withColumnRenamed("final_url", "url")
+    first = lambda ok, text: t.where(ok).groupBy("url").agg(F.min(F.struct("result_id", utf16_length(F.col(text)).alias("units"))).alias("f")).select("url", "f.*")
+    s, h = first("status_code < 300 and text is not null", "text"), first("tier_used = 'headless' and markdown is not null", "markdown")
+    chosen = stores.choose_tiers(t.select("url").distinct(), s, h)
+    # the choice is made on lengths; only the winner's row is looked up
+    ref = s.select("url", F.lit("static").alias("tier"), "result_id").unionByName(h.select("url", F.lit("headless").alias("tier"), "result_id"))
+    body = t.select("result_id", F.md5("text").alias("s_body"), F.md5("markdown").alias("h_body"))
+    out = chosen.join(ref, ["url", "tier"], "left").join(body, "result_id", "left")
     tried = F.array_join(F.transform("attempts", lambda a: F.concat_ws(":", a["tier"], a["success"].cast("string"))), ",")
-    return out.select("url", "tier", "error_kind", tried.alias("tried"), F.md5("text").alias("body"))
+    return out.select("url", "tier", "error_kind", tried.alias("tried"), F.when(F.col("tier") == "headless", F.col("h_body")).otherwise(F.col("s_body")).alias("body"))
 
 
 _REQ = f"""
@@ -258,7 +250,7 @@ def _requests(spark, d):
 
 
 _FOLD = _REQ.replace("WITH e", "WITH RECURSIVE e") + """
-, o AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS n FROM e),
+, o AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY t_ms, seq) AS n FROM e),
 f AS (
   SELECT url, seq, n, CASE WHEN lim IS NULL THEN 'unknown' WHEN ok THEN 'fetch' ELSE 'error' END AS decision, CASE WHEN lim IS NOT NULL AND ok THEN t_ms END AS crawled FROM o WHERE n = 1
   UNION ALL
@@ -273,9 +265,22 @@ def freshness_replay(spark, d):
     return freshness.replay(_requests(spark, d)).select("url", "seq", "decision", F.unix_millis("crawled_at").alias("crawled_ms"))
 
 
-@query(_FOLD)
-def freshness_replay_sorted(spark, d):
-    return freshness.replay_sorted(_requests(spark, d)).select("url", "seq", "decision", F.unix_millis("crawled_at").alias("crawled_ms"))
+#: As _FOLD with fetches of value x 150 ms: what takes over 15 s serves the stale copy and is written back when it ends.
+_RACE = _REQ.replace("WITH e", "WITH RECURSIVE e").replace("FROM events", "FROM (SELECT * FROM events)").replace(", ts FROM", ", ts, (value * 150)::BIGINT AS late FROM") + """
+, o AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY t_ms, seq) AS n FROM e),
+f AS (
+  SELECT url, seq, n, CASE WHEN lim IS NULL THEN 'unknown' WHEN ok THEN 'fetch' ELSE 'error' END AS decision, CASE WHEN lim IS NOT NULL AND ok THEN t_ms END AS crawled, []::BIGINT[] AS pend FROM o WHERE n = 1
+  UNION ALL
+  SELECT url, seq, n, decision, CASE WHEN decision = 'fetch' THEN t_ms ELSE c END, CASE WHEN decision = 'stale' AND ok AND late > 15000 THEN list_append(p, t_ms + late) ELSE p END
+  FROM (SELECT *, CASE WHEN lim IS NULL THEN 'unknown' WHEN c IS NOT NULL AND t_ms - c <= lim * 1000 THEN 'hit' WHEN c IS NOT NULL AND late > 15000 THEN 'stale' WHEN ok THEN 'fetch' WHEN c IS NOT NULL THEN 'stale' ELSE 'error' END AS decision
+        FROM (SELECT o.*, coalesce(list_max(list_filter(f.pend, lambda x: x <= o.t_ms)), f.crawled) AS c, list_filter(f.pend, lambda x: x > o.t_ms) AS p FROM f JOIN o ON o.url = f.url AND o.n = f.n + 1)))
+SELECT url, seq, decision, crawled AS crawled_ms FROM f"""
+
+
+@query(_RACE)
+def freshness_race(spark, d):
+    late = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.round(F.col("value") * 150).cast("bigint").alias("latency_ms"))
+    return freshness.replay(_requests(spark, d).join(late, "seq")).select("url", "seq", "decision", F.unix_millis("crawled_at").alias("crawled_ms"))
 
 
 @query(_REQ + f"SELECT url, seq, epoch_ms(TIMESTAMP '{NOW}') - t_ms <= lim * 1000 AS fresh, (epoch_ms(TIMESTAMP '{NOW}') - t_ms) / 1000.0 AS age FROM e WHERE lim IS NOT NULL")

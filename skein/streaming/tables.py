@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from skein.operators.freshness import decide
+from skein.operators.freshness import decide, fold_columns
 from skein.sources.stores import shared_dir
 
 
@@ -71,7 +71,7 @@ def windowed_events(events: DataFrame, ts: str = "ts", size: str = "1 day", late
 
 
 _OUT = T.StructType([T.StructField("url", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("decision", T.StringType()), T.StructField("crawled_ms", T.LongType())])
-_STATE = T.StructType([T.StructField("crawled_ms", T.LongType())])
+_STATE = T.StructType([T.StructField("crawled_ms", T.LongType()), T.StructField("landing", T.StringType())])
 
 
 class _Freshness(StatefulProcessor):
@@ -86,12 +86,13 @@ class _Freshness(StatefulProcessor):
         all_ = pd.concat(list(rows)).sort_values(["at", "seq"])
         held = self.state.get()
         crawled = int(held[0]) if held is not None and held[0] is not None else None
+        landing = [int(x) for x in held[1].split()] if held is not None and held[1] else []
         out = []
-        for seq, at, limit, ok in zip(all_["seq"], all_["at"], all_["limit"], all_["ok"], strict=True):
-            kind, crawled = decide(crawled, int(at), None if pd.isna(limit) else int(limit), bool(ok))
+        for seq, at, limit, ok, late in zip(all_["seq"], all_["at"], all_["limit"], all_["ok"], all_["latency"], strict=True):
+            kind, crawled, landing = decide(crawled, landing, int(at), None if pd.isna(limit) else int(limit), bool(ok), int(late))
             out.append((key[0], int(seq), kind, crawled))
         if crawled is not None:
-            self.state.update((crawled,))
+            self.state.update((crawled, " ".join(map(str, landing))))
         yield pd.DataFrame(out, columns=["url", "seq", "decision", "crawled_ms"]).astype({"crawled_ms": "Int64"})
 
     def close(self) -> None:
@@ -103,5 +104,5 @@ def replay_stream(requests: DataFrame) -> DataFrame:
 
     Rows of one URL must arrive in time order across micro-batches; within one they are sorted.
     """
-    cols = requests.select("url", F.col("seq").cast("bigint").alias("seq"), F.unix_millis(F.col("ts")).alias("at"), F.col("max_seconds").cast("bigint").alias("limit"), F.coalesce(F.col("ok"), F.lit(False)).alias("ok"))
+    cols = fold_columns(requests)
     return cols.groupBy("url").transformWithStateInPandas(statefulProcessor=_Freshness(), outputStructType=_OUT, outputMode="Update", timeMode="None")
