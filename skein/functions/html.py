@@ -238,7 +238,10 @@ def _wrap(n: Node) -> Node:
 
 
 def page_content(html: str | None) -> dict:
-    """title, markdown, text and hrefs of a page; NULL and empty pages give empty strings and no title."""
+    """title, markdown, text and hrefs of a page; NULL and empty pages give empty strings and no title.
+
+    An empty title is none (NULL) only on a page without an article.
+    """
     b = _Builder()
     b.feed(html or "")
     b.close()
@@ -252,7 +255,7 @@ def page_content(html: str | None) -> dict:
         return {"title": title or None, "markdown": text, "text": text, "hrefs": b.hrefs}
     heads = [n for n in order if n.tag == "h1"]
     lead = "" if not heads or any(n is heads[0] for n in best.walk()) else f"# {' '.join(heads[0].text().split())}\n\n"
-    return {"title": title or None, "markdown": (lead + "\n\n".join(_blocks(best))).strip(), "text": best.text().strip(), "hrefs": b.hrefs}
+    return {"title": title, "markdown": (lead + "\n\n".join(_blocks(best))).strip(), "text": best.text().strip(), "hrefs": b.hrefs}
 
 
 CONTENT = T.StructType([T.StructField("title", T.StringType()), T.StructField("markdown", T.StringType()), T.StructField("text", T.StringType()), T.StructField("hrefs", T.ArrayType(T.StringType()))])

@@ -164,7 +164,7 @@ def resolve(base: str | None, href: str | None) -> str | None:
         rest, _, _ = rest.partition("#")
         rest, mark, query = rest.partition("?")
         rest = rest.replace("\\", "/")
-        if rest.startswith("//") or (scheme and kind != b.scheme.lower()) or (scheme and rest.startswith("/")):
+        if rest.startswith("//") or (scheme and kind != b.scheme.lower()):
             authority, _, p = rest.lstrip("/").partition("/")
             p = "/" + p
         else:

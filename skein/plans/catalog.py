@@ -53,7 +53,7 @@ def url_parts(spark, d):
     return table(spark, d, "scrape_results").where("final_url is not null").select("result_id", F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*", 0).alias("scheme"), urls.host(u).alias("host"), urls.path(u).alias("path"), urls.without_fragment(u).alias("plain"), urls.is_web(u).alias("web"))
 
 
-@query()
+@query("SELECT result_id, lower(regexp_extract(final_url, '^[A-Za-z]+://[^/?#]*')) || coalesce(nullif(regexp_extract(final_url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), ''), '/') || regexp_extract(final_url, '[?][^#]*') AS url FROM scrape_results WHERE final_url IS NOT NULL")
 def url_normalized(spark, d):
     u = F.col("final_url")
     return table(spark, d, "scrape_results").where("final_url is not null").select("result_id", urls.resolve_url(u, u).alias("url"))
@@ -85,7 +85,8 @@ _LINKS = r"""
 WITH a AS (SELECT result_id, crawl_id, final_url, regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1) AS hs FROM scrape_results WHERE final_url IS NOT NULL),
 e AS (SELECT result_id, crawl_id, final_url, unnest(hs) AS href, unnest(range(len(hs))) AS pos FROM a),
 r AS (SELECT result_id, crawl_id, final_url, pos, CASE WHEN regexp_matches(href, '^(?i)https?://') THEN regexp_replace(href, '#.*$', '') WHEN href LIKE '/%' THEN """ + _ORIGIN.format(u="final_url") + r""" || regexp_replace(href, '#.*$', '') END AS link FROM e),
-l AS (SELECT result_id, crawl_id, final_url, link, min(pos)::INT AS pos FROM r WHERE link IS NOT NULL GROUP BY ALL)
+x AS (SELECT * REPLACE (array_to_string(list_transform(string_split(link, ''), lambda c: CASE WHEN unicode(c) > 127 THEN url_encode(c) ELSE c END), '') AS link) FROM r WHERE link IS NOT NULL),
+l AS (SELECT result_id, crawl_id, final_url, link, min(pos)::INT AS pos FROM x GROUP BY ALL)
 """
 
 
@@ -266,7 +267,7 @@ def freshness_replay(spark, d):
 
 
 #: As _FOLD with fetches of value x 150 ms: what takes over 15 s serves the stale copy and is written back when it ends.
-_RACE = _REQ.replace("WITH e", "WITH RECURSIVE e").replace("FROM events", "FROM (SELECT * FROM events)").replace(", ts FROM", ", ts, (value * 150)::BIGINT AS late FROM") + """
+_RACE = _REQ.replace("WITH e", "WITH RECURSIVE e").replace("FROM events", "FROM (SELECT * FROM events)").replace(", ts FROM", ", ts, floor(value * 150)::BIGINT AS late FROM") + """
 , o AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY t_ms, seq) AS n FROM e),
 f AS (
   SELECT url, seq, n, CASE WHEN lim IS NULL THEN 'unknown' WHEN ok THEN 'fetch' ELSE 'error' END AS decision, CASE WHEN lim IS NOT NULL AND ok THEN t_ms END AS crawled, []::BIGINT[] AS pend FROM o WHERE n = 1
@@ -279,7 +280,7 @@ SELECT url, seq, decision, crawled AS crawled_ms FROM f"""
 
 @query(_RACE)
 def freshness_race(spark, d):
-    late = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.round(F.col("value") * 150).cast("bigint").alias("latency_ms"))
+    late = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.floor(F.col("value") * 150).cast("bigint").alias("latency_ms"))
     return freshness.replay(_requests(spark, d).join(late, "seq")).select("url", "seq", "decision", F.unix_millis("crawled_at").alias("crawled_ms"))
 
 
@@ -352,9 +353,10 @@ def stream_cost_daily(spark, d):
     return ledger.daily(streams.run_available(once, "stream-costs"))
 
 
-@query()
+@query("SELECT epoch_ms(date_trunc('day', ts)) AS start_ms, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_event_windows(spark, d):
-    return streams.run_batches(streams.windowed_events(streams.stream(spark, d, "events")), "stream-windows", "complete")
+    out = streams.run_batches(streams.windowed_events(streams.stream(spark, d, "events")), "stream-windows", "complete")
+    return out.select(F.unix_millis("start").alias("start_ms"), "event_type", "n")
 
 
 _SAME = """

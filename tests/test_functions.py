@@ -117,3 +117,15 @@ def test_sessions(spark):
     assert "aaaa" not in repr(keys)
 
 
+
+
+def test_schema_of_deep_values(spark):
+    loop = {"$defs": {"n": {"anyOf": [{"type": "integer"}, {"type": "object", "properties": {"x": {"$ref": "#/$defs/n"}}, "required": ["x"]}]}}, "$ref": "#/$defs/n"}
+    deep = lambda n, end: '{"x": ' * n + end + "}" * n
+    assert col(spark, [deep(900, "1"), deep(5000, "1"), deep(5000, '"s"')], lambda c: conforms(loop)(c)) == [True, True, False]
+    assert Validator({"$defs": {"a": {"$ref": "#/$defs/b"}, "b": {"$ref": "#/$defs/a"}}, "$ref": "#/$defs/a"}).valid(3)
+
+
+def test_blocked_alike_in_fetchers(spark):
+    ips = ["8.8.8.8", "10.1.2.3", "::1", "::ffff:10.0.0.1", "abcd:", "1:2", "x", None, "2001:4860::1", "fe80::1%eth0", "1.2.3.4.5", "FD00::1"]
+    assert col(spark, ips, hosts.is_blocked) == [hosts.blocked(x) for x in ips]

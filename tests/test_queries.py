@@ -1,6 +1,6 @@
 import pytest
 
-from skein.plans import catalog
+from skein.plans import cases, catalog  # noqa: F401
 from tests import oracle
 from tests.conftest import DATA
 

@@ -9,13 +9,13 @@ from tests.conftest import DATA
 
 
 def batch(events):
-    days = events.groupBy(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("start"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return {(r.start, r.event_type): r.n for r in days.collect()}
+    days = events.groupBy(F.unix_millis(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("start_ms"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return {(r.start_ms, r.event_type): r.n for r in days.collect()}
 
 
 def windows(spark, folder):
     rows = catalog.QUERIES["stream_event_windows"](spark, folder).collect()
-    got = {(r.start, r.event_type): r.n for r in rows}
+    got = {(r.start_ms, r.event_type): r.n for r in rows}
     assert len(got) == len(rows)
     return got
 
