@@ -6,7 +6,6 @@ import json
 import math
 import re
 import sys
-import threading
 from collections.abc import Callable
 
 import pandas as pd
@@ -141,31 +140,23 @@ class Validator:
         return all(sub(v, x) for x in s.get("allOf", [])) and ("anyOf" not in s or any(sub(v, x) for x in s["anyOf"])) and ("oneOf" not in s or sum(sub(v, x) for x in s["oneOf"]) == 1)
 
 
-def _with_deep_stack(f: Callable[[], bool]) -> bool:
-    """f in a thread whose stack holds values of a depth beyond the interpreter's usual limit; False for no JSON."""
-    out: list[bool] = []
-
-    def run() -> None:
-        try:
-            out.append(f())
-        except ValueError:
-            out.append(False)
-
-    limit, size = sys.getrecursionlimit(), threading.stack_size()
+def _deep(f: Callable[[], bool]) -> bool | None:
+    """f with room for values of great depth; None where even that does not hold them."""
+    limit = sys.getrecursionlimit()
     try:
-        sys.setrecursionlimit(400_000)
-        threading.stack_size(512 << 20)
-        t = threading.Thread(target=run)
-        t.start()
-        t.join()
+        sys.setrecursionlimit(200_000)  # frames of plain functions lie on the heap; what calls through C is guarded apart
+        return f()
+    except RecursionError:
+        return None
     finally:
         sys.setrecursionlimit(limit)
-        threading.stack_size(size)
-    return out[0]
 
 
 def conforms(schema: dict):
-    """A Column function: whether JSON text conforms; text that is no JSON does not, NULL stays NULL."""
+    """A Column function: whether JSON text conforms; text that is no JSON does not, NULL stays NULL.
+
+    So does a text whose values lie too deep for the interpreter (some thousand levels).
+    """
     check = Validator(schema)  # a bad schema fails here, before any row is read
 
     @F.pandas_udf("boolean")
@@ -178,7 +169,7 @@ def conforms(schema: dict):
             except ValueError:
                 return False
             except RecursionError:
-                return _with_deep_stack(lambda: check.valid(json.loads(t)))
+                return _deep(lambda: check.valid(json.loads(t)))
 
         return texts.map(one).astype(object)
 
