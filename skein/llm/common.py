@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skein.sources.stores import materialize, shared_dir, spread, table
+from skein.sources.stores import forget, materialize, shared_dir, spread, table
 
-__all__ = ["host_of", "join_sites", "materialize", "mix64", "shared_dir", "spread", "table", "tokenizer_path"]
+__all__ = ["forget", "host_of", "join_sites", "materialize", "mix64", "shared_dir", "spread", "table", "tokenizer_path"]
 
 
 def host_of(url: Column) -> Column:

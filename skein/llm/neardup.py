@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import materialize, mix64, spread
+from skein.llm.common import forget, materialize, mix64, spread
 
 MIN_WORDS = 60
 SHINGLE = 3
@@ -108,7 +108,7 @@ def sketched(pages: DataFrame, text: str = "markdown", bands: int = BANDS, rows:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),
-                        pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]),
+                        pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                         pa.array(n, pa.int32()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * bands), pa.array(keys.ravel().view(np.int64))),
@@ -117,13 +117,16 @@ def sketched(pages: DataFrame, text: str = "markdown", bands: int = BANDS, rows:
                     names=["result_id", "sig", "n", "shingles", "bands", "sketch"],
                 )
 
-    return spread(pages.where("result_id is not null").select("result_id", text)).mapInArrow(run, "result_id bigint, sig string, n int, shingles array<bigint>, bands array<bigint>, sketch binary")
+    return spread(pages.where("result_id is not null").select("result_id", text)).mapInArrow(run, "result_id bigint, sig binary, n int, shingles array<bigint>, bands array<bigint>, sketch binary")
 
 
 def candidates(reps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Distinct (a, b), a < b, that share a band and whose sizes allow the threshold."""
+    """Distinct (a, b), a < b, that share a band and whose sizes allow the threshold.
+
+    Bands of one member, most of them, are only counted; rows go on with the others.
+    """
     buckets = reps.select("result_id", "n", F.explode("bands").alias("band"))
-    crowded = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    crowded = materialize(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "neardup-crowded")
     parts = F.ceil(F.col("members") / block).cast("int")
     rows = buckets.join(crowded, "band").select("band", "result_id", "n", parts.alias("parts"), F.pmod(F.xxhash64("result_id"), parts).cast("int").alias("own"))
     met = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
@@ -139,7 +142,7 @@ def candidates(reps: DataFrame, block: int = BLOCK) -> DataFrame:
 def likely(pairs: DataFrame, sets: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
     """The pairs whose sketches agree on at least least of their coordinates.
 
-    Chance candidates end here, for 2 x 200 bytes moved instead of two whole sets.
+    Chance candidates end here, for 2 x 200 bytes looked up instead of two whole sets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,19 +156,33 @@ def likely(pairs: DataFrame, sets: DataFrame, least: float = LEAST_ESTIMATE) ->
     return j.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def once(sets: DataFrame) -> DataFrame:
+    """One row per result_id: of several the one with the least sig. Only rows of repeated ids are moved."""
+    twice = materialize(sets.groupBy("result_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("result_id"), "neardup-twice")
+    more = sets.join(twice, "result_id", "left_semi").groupBy("result_id").agg(F.min(F.struct("sig", "n")).alias("s")).select("result_id", "s.sig", "s.n")
+    return sets.join(twice, "result_id", "left_anti").select("result_id", "sig", "n").unionByName(more)
+
+
 def similar_classes(pages: DataFrame, text: str = "markdown") -> tuple[DataFrame, DataFrame]:
     """(pairs of class representatives (a, b), membership (result_id, rep)).
 
     A class holds the rows with the same set of shingles; its representative is its least
     result_id. Rows with fewer words than MIN_WORDS (NULL and empty texts too) are in no
-    class; repeated rows of one result_id count once.
+    class; repeated rows of one result_id count once. Sets stay where they were written:
+    ids, sizes, keys and sketches find the pairs, and the sets of rows that are in a likely
+    pair are looked up at the end.
     """
-    sets = materialize(sketched(pages, text).dropDuplicates(["result_id"]), "neardup-sets")
-    members = sets.select("result_id", "sig").join(sets.groupBy("sig").agg(F.min("result_id").alias("rep")), "sig").select("result_id", "rep")
-    members = materialize(members, "neardup-members")
-    reps = sets.join(members.where("result_id = rep").select("result_id"), "result_id", "left_semi")
-    pairs = materialize(likely(candidates(reps), sets), "neardup-likely")
-    own = sets.select("result_id", "n", "shingles")
+    all_ = materialize(sketched(pages, text), "neardup-sets")
+    ids = materialize(once(all_), "neardup-ids")
+    members = materialize(ids.join(ids.groupBy("sig").agg(F.min("result_id").alias("rep")), "sig").select("result_id", "rep"), "neardup-members")
+    # representatives are told by what they are not, so that few ids are looked up
+    copies = members.where("result_id != rep").select("result_id")
+    sets = all_.join(copies, "result_id", "left_anti")
+    met = materialize(candidates(sets), "neardup-candidates")
+    pairs = materialize(likely(met, sets).distinct(), "neardup-likely")
+    paired = pairs.select(F.col("a").alias("result_id")).unionByName(pairs.select(F.col("b").alias("result_id"))).distinct()
+    kept = sets.select("result_id", "sig", "n", "shingles").join(paired, "result_id", "left_semi").join(ids.select("result_id", "sig").join(paired, "result_id", "left_semi"), ["result_id", "sig"], "left_semi")
+    own = materialize(kept.dropDuplicates(["result_id"]), "neardup-kept")
     left = pairs.join(own.select(F.col("result_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a")
     both = left.join(own.select(F.col("result_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -176,11 +193,27 @@ def similar_classes(pages: DataFrame, text: str = "markdown") -> tuple[DataFrame
 def similar_pairs(pages: DataFrame, text: str = "markdown") -> DataFrame:
     """(result_id_a, result_id_b): all rows at or above the threshold, smaller id first."""
     pairs, members = similar_classes(pages, text)
-    within = members.groupBy("rep").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    links = pairs.unionByName(within)
-    x = members.select(F.col("rep").alias("a"), F.col("result_id").alias("x"))
-    y = members.select(F.col("rep").alias("b"), F.col("result_id").alias("y"))
-    return links.join(x, "a").join(y, "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("result_id_a"), F.greatest("x", "y").alias("result_id_b"))
+    return expanded(pairs, members)
+
+
+def expanded(pairs: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(result_id_a, result_id_b) of all members of linked classes and within each class, smaller id first.
+
+    Large classes are split by a hash of their members; a link is looked up in each part.
+    The table of such classes has at most a row per block members, so it may be broadcast.
+    """
+    size = materialize(members.groupBy("rep").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "neardup-sizes")
+    within = size.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    large = size.where(F.col("m") > block).select("rep", F.ceil(F.col("m") / block).cast("int").alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    split = members.join(F.broadcast(large), "rep", "left").select("rep", "result_id", F.pmod(F.xxhash64("result_id"), parts).cast("int").alias("part"))
+
+    def side(links: DataFrame, key: str, name: str) -> DataFrame:
+        here = links.join(F.broadcast(large.withColumnRenamed("rep", key)), key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        return here.join(split.select(F.col("rep").alias(key), "part", F.col("result_id").alias(name)), [key, "part"]).drop("part")
+
+    both = side(side(pairs.unionByName(within), "a", "x"), "b", "y")
+    return both.where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("result_id_a"), F.greatest("x", "y").alias("result_id_b"))
 
 
 def groups(pages: DataFrame, text: str = "markdown") -> DataFrame:
@@ -198,8 +231,10 @@ def groups(pages: DataFrame, text: str = "markdown") -> DataFrame:
         near = edges.join(label, F.col("b") == F.col("rep")).groupBy("a").agg(F.min("label").alias("near"))
         step = label.join(near, F.col("rep") == F.col("a"), "left").select("rep", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = step.select(F.col("rep").alias("via"), F.col("label").alias("far"))
-        step = materialize(step.join(jump, F.col("label") == F.col("via")).select("rep", "old", F.least("label", "far").alias("label")), "neardup-labels")
+        last, step = label, materialize(step.join(jump, F.col("label") == F.col("via")).select("rep", "old", F.least("label", "far").alias("label")), "neardup-labels")
         label = step.select("rep", "label")
+        label._skein_path = step._skein_path
+        forget(last)
         if step.where("old != label").isEmpty():
             break
     size = members.groupBy("rep").agg(F.count(F.lit(1)).alias("m"))

@@ -128,6 +128,15 @@ def test_near_duplicates(spark):
         assert r.group_id == part[r.result_id] and r.links == deg[r.result_id]
 
 
+def test_large_classes_are_split(spark):
+    members = spark.createDataFrame([(i, 0) for i in range(23)] + [(50 + i, 50) for i in range(9)] + [(99, 99)], "result_id long, rep long")
+    pairs = spark.createDataFrame([(0, 50), (50, 99)], "a long, b long")
+    got = [tuple(r) for r in neardup.expanded(pairs, members, block=4).collect()]
+    a, b = list(range(23)), [50 + i for i in range(9)]
+    want = [(x, y) for c in (a, b) for x in c for y in c if x < y] + [(x, y) for x in a for y in b] + [(x, 99) for x in b]
+    assert sorted(got) == sorted(want)
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 63, 400).astype(np.uint64), rng.integers(0, 1 << 63, 400).astype(np.uint64)
