@@ -1,9 +1,12 @@
 """Problem 2: text garbled by a wrong character encoding.
 
-Method: words of the corpus that are the same once non-ASCII characters are taken out are
-near-twins. Aligning a garbled word with its clean twins character by character shows
-which transformation (bytes of one encoding read as another) made it; transformations
-with enough evidence are learned and applied to every record, with or without a twin.
+Method: words of the corpus that are the same once runs of non-ASCII characters are taken out
+are near-twins; of each such group the most frequent word that nothing could undo is the clean
+one. Aligning a word with its clean twin character by character shows what was done to it: the
+UTF-8 bytes of a character came out as so many characters. Known encodings name most such
+transformations and fill in characters that no twin shows; what none of them explains is put
+together to byte tables of its own, by which entries agree. Transformations with enough
+evidence are applied to every record, with or without a twin.
 """
 
 from __future__ import annotations
@@ -50,9 +53,19 @@ WESTERN = ("cp1252", "latin-1", "iso8859-15")
 NEED_TWO = ((0x370, 0x45F), (0x2500, 0x27BF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
 
 
+#: A byte table needs so many characters of clean text.
+MIN_ENTRIES = 3
+#: What parts a word's ASCII pieces in its skeleton; no word holds it.
+GAP = "\t"
+#: An encoding's name, or a learned table as (character, byte) pairs.
+Codec = str | tuple[tuple[str, int], ...]
+
+
 @lru_cache(maxsize=32)
-def _byte_of(codec: str) -> dict[str, int]:
-    """Character to byte; bytes the codec leaves undefined stand for themselves."""
+def _byte_of(codec: Codec) -> dict[str, int]:
+    """Character to byte; bytes a named codec leaves undefined stand for themselves."""
+    if not isinstance(codec, str):
+        return dict(codec)
     out = {}
     for b in range(128, 256):
         try:
@@ -70,7 +83,7 @@ def _in(cp: int, ranges: tuple) -> bool:
 
 
 @lru_cache(maxsize=100_000)
-def undo(run: str, codec: str, before: str = "", lone: bool = False) -> tuple[str, int]:
+def undo(run: str, codec: Codec, before: str = "", lone: bool = False) -> tuple[str, int]:
     """(run with every misread sequence decoded, number of characters restored).
 
     lone: letters that prove nothing alone are decoded alone too, as the text is known to be misread.
@@ -86,7 +99,7 @@ def undo(run: str, codec: str, before: str = "", lone: bool = False) -> tuple[st
         hits = [h for h in hits if len(h[2]) == 1 and (_in(ord(h[2]), PLAUSIBLE) or (west and 0x80 <= ord(h[2]) <= 0xA0))]
         bare = [not lone and not west and _in(ord(h[2]), NEED_TWO) and not any(g is not h and (g[0] == h[1] or g[1] == h[0]) for g in hits) for h in hits]
         for (s, e, ch), skip in zip(hits, bare, strict=True):
-            if skip or (codec.startswith(("cp125", "latin", "iso")) and e - s == 2 and before.isupper() and s == 0 and not ch.isupper() and "".join(buf)[1] in "”’»“›"):
+            if skip or (isinstance(codec, str) and codec.startswith(("cp125", "latin", "iso")) and e - s == 2 and before.isupper() and s == 0 and not ch.isupper() and "".join(buf)[1] in "”’»“›"):
                 continue
             out.append("".join(buf[at:s]))
             out.append(ch)
@@ -104,14 +117,14 @@ def undo(run: str, codec: str, before: str = "", lone: bool = False) -> tuple[st
     return "".join(out), n
 
 
-def repair(text: str, codecs: tuple[str, ...]) -> tuple[str, int]:
-    """(text with learned transformations undone, characters restored); repeats for text misread twice."""
+def repair(text: str, codecs: tuple[Codec, ...]) -> tuple[str, int]:
+    """(text with learned transformations undone, characters restored); repeats for text misread several times, as every step shortens it."""
     total = 0
-    for _ in range(8):
+    while True:
         spare = {m.start(2) for m in QUOTED.finditer(text)}
-        best, most, by = text, 0, ""
+        best, most, by = text, 0, codecs[0] if codecs else ""
 
-        def decode(codec: str, lone: bool, spare: set[int] = spare, text: str = text) -> tuple[str, int]:
+        def decode(codec: Codec, lone: bool, spare: set[int] = spare, text: str = text) -> tuple[str, int]:
             n = 0
 
             def fix(m: re.Match) -> str:
@@ -142,7 +155,7 @@ def lost(text: str) -> bool:
 
 
 def _skeleton(word: str) -> str:
-    return RUN.sub("", word)
+    return RUN.sub(GAP, word)
 
 
 def aligned(clean: str, garbled: str) -> list[tuple[str, str]] | None:
@@ -167,7 +180,7 @@ def cause(clean: str, garbled: str) -> str | None:
 
 
 def words(records: DataFrame, fields: tuple[str, ...]) -> DataFrame:
-    """(skeleton, word, n): words with non-ASCII characters, counted over all fields."""
+    """(skeleton, word, n): words with non-ASCII characters, counted over all fields; the skeleton keeps their ASCII pieces in place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,7 +188,7 @@ def words(records: DataFrame, fields: tuple[str, ...]) -> DataFrame:
             for col in b.columns:
                 for t in col.to_pylist():
                     if t and not t.isascii():
-                        seen.update(w for w in WORD.findall(t) if len(w) <= 64)
+                        seen.update(WORD.findall(t))
             keys = [_skeleton(w) for w in seen]
             keep = [i for i, (k, w) in enumerate(zip(keys, seen, strict=True)) if sum(map(str.isalpha, k)) >= MIN_SKELETON or HIGH_WORD.search(w)]
             ws, ns = list(seen), list(seen.values())
@@ -184,37 +197,87 @@ def words(records: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return spread(records.select(*fields)).mapInArrow(run, "skeleton string, word string, n bigint").groupBy("skeleton", "word").agg(F.sum("n").alias("n"))
 
 
+def characters(clean: str, garbled: str) -> list[tuple[str, str]] | None:
+    """The characters of a clean run with what each became, if their UTF-8 bytes came out as one character each."""
+    sizes = [len(c.encode()) for c in clean]
+    if sum(sizes) != len(garbled):
+        return None
+    out, at = [], 0
+    for c, k in zip(clean, sizes, strict=True):
+        out.append((c, garbled[at : at + k]))
+        at += k
+    return out
+
+
 def learn(counted: DataFrame) -> DataFrame:
-    """(codec, garbled, clean, twins, n): aligned runs explained by a transformation.
+    """(codec, garbled, clean, twins, n): aligned runs that an encoding explains, and single characters (codec '?') of runs that none does.
 
-    counted: see words(). Words are pre-counted, so a twin join works on distinct words. Only words in which
-    some candidate encoding can be undone stand on the garbled side.
+    counted: see words(). The clean twin of a word is the most frequent word of its skeleton
+    that no known encoding could undo something in, so a skeleton with any number of
+    spellings costs one pair a spelling.
     """
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([any(undo(r, c)[1] for r in RUN.findall(w) for c in CODECS) for w in b.column(1).to_pylist()], pa.bool_()))
+            yield b.append_column("suspect", pa.array([any(undo(r, c)[1] for r in RUN.findall(w) for c in CODECS) for w in b.column(1).to_pylist()], pa.bool_()))
 
     def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for skel, good, bad, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                runs = aligned(good, bad)
-                why = [cause(x, y) for x, y in runs] if runs else []
-                rows += [(w, y, x, skel, n) for (x, y), w in zip(runs or [], why, strict=True) if w]
+            for skel, good, bad, n, suspect in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for x, y in aligned(good, bad) or []:
+                    if suspect and (w := cause(x, y)):
+                        rows.append((w, y, x, skel, n))
+                    elif pieces := characters(x, y):
+                        rows += [("?", part, c, skel, n) for c, part in pieces]
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(),) * 4 + (pa.int64(),), strict=True)], names=["codec", "garbled", "clean", "skeleton", "n"])
 
     counted = counted.where(F.length(F.regexp_replace("skeleton", r"[^\p{L}]+", "")) >= MIN_SKELETON)
-    bad = counted.mapInArrow(suspects, counted.schema).withColumnRenamed("word", "bad")
-    good = counted.select("skeleton", F.col("word").alias("good"))
-    pairs = bad.join(good, "skeleton").where("good != bad").select("skeleton", "good", "bad", "n")
+    seen = materialize(counted.mapInArrow(suspects, "skeleton string, word string, n bigint, suspect boolean"), "encoding-suspects")
+    good = seen.where("not suspect").groupBy("skeleton").agg(F.max(F.struct("n", "word")).alias("g")).select("skeleton", F.col("g.word").alias("good"), F.col("g.n").alias("good_n"))
+    pairs = seen.join(good, "skeleton").where((F.col("word") != F.col("good")) & (F.col("suspect") | (F.col("n") < F.col("good_n")))).select("skeleton", "good", F.col("word").alias("bad"), "n", "suspect")
     return pairs.mapInArrow(explain, "codec string, garbled string, clean string, skeleton string, n bigint").groupBy("codec", "garbled", "clean").agg(F.count_distinct("skeleton").alias("twins"), F.sum("n").alias("n"))
 
 
+def learned_tables(mappings: DataFrame, min_twins: int = MIN_TWINS, min_entries: int = MIN_ENTRIES) -> tuple[Codec, ...]:
+    """Byte tables put together from characters that no known encoding explains.
+
+    A character and what it became give one (character read, byte) pair per UTF-8 byte. An
+    entry joins the first table that shares a pair with it and contradicts none; tables of
+    fewer than min_entries clean characters are dropped. What is collected are entries with
+    min_twins twins, then entries of fewer that begin as one of a table does: at most one
+    per letter of the scripts and table, whatever the corpus.
+    """
+    found = mappings.where("codec = '?'").select("garbled", "clean", "twins")
+    tables: list[tuple[dict[int, str], set[str]]] = []
+
+    def enter(rows: list, open_: bool) -> None:
+        for r in sorted(rows, key=lambda r: (-r.twins, r.clean, r.garbled)):
+            pairs = list(zip(r.clean.encode(), r.garbled, strict=True))
+            if len({c for _, c in pairs}) < len({b for b, _ in pairs}):
+                continue
+            for table, clean in tables:
+                back = {c: b for b, c in table.items()}
+                if any(table.get(b) == c for b, c in pairs) and all(table.get(b, c) == c and back.get(c, b) == b for b, c in pairs):
+                    table.update(pairs)
+                    clean.add(r.clean)
+                    break
+            else:
+                if open_:
+                    tables.append((dict(pairs), {r.clean}))
+
+    enter(found.where(F.col("twins") >= min_twins).collect(), True)
+    tables = [t for t in tables if len(t[1]) >= min_entries]
+    leads = {c for table, _ in tables for b, c in table.items() if b >= 0xC2}
+    if leads:
+        enter(found.where((F.col("twins") < min_twins) & F.substring("garbled", 1, 1).isin(*leads)).collect(), False)
+    return tuple(tuple(sorted((c, b) for b, c in table.items())) for table, _ in tables)
+
+
 def learned_codecs(mappings: DataFrame, min_twins: int = MIN_TWINS) -> tuple[str, ...]:
     """The encodings with enough twins; at most len(CODECS) values, whatever the corpus."""
-    steps = mappings.select(F.explode(F.split("codec", r"\+")).alias("codec"), "twins").groupBy("codec").agg(F.sum("twins").alias("twins"))
+    steps = mappings.where("codec != '?'").select(F.explode(F.split("codec", r"\+")).alias("codec"), "twins").groupBy("codec").agg(F.sum("twins").alias("twins"))
     found = {r.codec for r in steps.where(F.col("twins") >= min_twins).collect()}
     return tuple(c for c in CODECS if c in found)
 
@@ -255,7 +318,7 @@ def learn_swaps(counted: DataFrame, min_twins: int = MIN_TWINS) -> tuple[tuple[s
             cols = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(),) * 4 + (pa.int64(),), strict=True)], names=["word", "bad", "a", "r", "bad_n"])
 
-    high = counted.where("skeleton = ''").select("word", "n")
+    high = counted.where(F.col("skeleton") == GAP).select("word", "n")
     meet = high.mapInArrow(guesses, "word string, bad string, a string, r string, bad_n bigint").join(high, "word").where("n > 3 * bad_n")
     found = meet.groupBy("a", "r").agg(F.count_distinct("bad").alias("twins")).where(F.col("twins") >= min_twins)
     return tuple(sorted((x.a, x.r) for x in found.collect()))
@@ -263,7 +326,7 @@ def learn_swaps(counted: DataFrame, min_twins: int = MIN_TWINS) -> tuple[tuple[s
 
 def letter_pairs(counted: DataFrame) -> dict[str, float]:
     """Log frequency of Cyrillic letter pairs in the whole corpus; at most 33 x 33 entries."""
-    w = counted.where("skeleton = ''").where(F.col("word").rlike("^[\u0400-\u045f]{2,}$")).select(F.lower("word").alias("w"), "n")
+    w = counted.where(F.col("skeleton") == GAP).where(F.col("word").rlike("^[\u0400-\u045f]{2,}$")).select(F.lower("word").alias("w"), "n")
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: F.substring(F.col("w"), i, F.lit(2)))).alias("pair")
     got = w.select(pair, "n").where(F.col("pair").rlike("^[а-яё]{2}$")).groupBy("pair").agg(F.sum("n").alias("n")).collect()
     total = sum(r.n for r in got) or 1
@@ -302,7 +365,7 @@ def unswap(text: str, swaps: tuple[tuple[str, str], ...], pairs: dict[str, float
     return "\n".join(out), n
 
 
-def restore(text: str, codecs: tuple[str, ...], swaps: tuple[tuple[str, str], ...], pairs: dict[str, float]) -> tuple[str, int]:
+def restore(text: str, codecs: tuple[Codec, ...], swaps: tuple[tuple[str, str], ...], pairs: dict[str, float]) -> tuple[str, int]:
     """Both kinds of misreading undone, the one that explains more of the text first."""
     fixed, n = repair(text, codecs)
     if swaps and HIGH_WORD.search(text):
@@ -316,7 +379,7 @@ def restore(text: str, codecs: tuple[str, ...], swaps: tuple[tuple[str, str], ..
     return fixed, n
 
 
-def apply_learned(records: DataFrame, codecs: tuple[str, ...], swaps: tuple[tuple[str, str], ...] = (), pairs: dict[str, float] | None = None, key: str = "result_id", fields: tuple[str, ...] = ("text", "title")) -> DataFrame:
+def apply_learned(records: DataFrame, codecs: tuple[Codec, ...], swaps: tuple[tuple[str, str], ...] = (), pairs: dict[str, float] | None = None, key: str = "result_id", fields: tuple[str, ...] = ("text", "title")) -> DataFrame:
     """(key, field, repaired, restored, lost): the damaged fields and what could be given back.
 
     Fields that are NULL or empty, and letters quoted as an example, are no cases.
@@ -344,6 +407,7 @@ def apply_learned(records: DataFrame, codecs: tuple[str, ...], swaps: tuple[tupl
 def damaged(records: DataFrame, min_twins: int = MIN_TWINS) -> DataFrame:
     """Learn from all records, then find and repair: see apply_learned."""
     counted = materialize(words(records, ("text", "title")), "encoding-words")
-    codecs = learned_codecs(learn(counted), min_twins)
+    mappings = materialize(learn(counted), "encoding-mappings")
+    codecs = learned_codecs(mappings, min_twins) + learned_tables(mappings, min_twins)
     swaps = learn_swaps(counted, min_twins)
     return apply_learned(records, codecs, swaps, letter_pairs(counted) if swaps else None)

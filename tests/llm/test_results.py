@@ -91,6 +91,32 @@ def test_learning(spark):
     assert set(got) == {(15, "text"), (16, "text"), (90, "text")} and got[90, "text"] == ru
 
 
+def test_learning_an_unlisted_table(spark):
+    """A misreading that no listed encoding knows is learned from twins and undone where no twin is."""
+    table = {b: c for c, b in encoding._byte_of("cp1252").items()}
+    marks = "ĦŁŦŊŒĐŠŽĽĄĘĢĶĻŅŖŞŢŲŻŹČĚĀĒĪŌŪĂĬŎŬ"  # any bytes-to-letters table will do
+    odd = {b: marks[i % len(marks)] + "" if i < len(marks) else chr(0x1401 + i) for i, b in enumerate(sorted(table))}
+    assert len(set(odd.values())) == len(odd)
+    garble = lambda s: "".join(chr(b) if b < 128 else odd[b] for b in s.encode())
+    words = "préposé déplacé allée pavée déjà façade forêt hôtel côté théâtre élève père mère répertoire dépôt contrôle drôle".split()
+    rows = [(i, " ".join(words), None) for i in range(5)] + [(10, " ".join(garble(w) for w in words), "ok"), (11, garble("résumé à l’été, rôle fâché"), "ok")]
+    d = spark.createDataFrame(rows, "result_id long, text string, title string")
+    mappings = encoding.learn(encoding.words(d, ("text", "title")))
+    assert encoding.learned_codecs(mappings) == () and len(encoding.learned_tables(mappings)) == 1
+    got = {r.result_id: r.repaired for r in encoding.damaged(d).collect()}
+    # à and ’ stand in no twin, so they stay as they are
+    assert got == {10: " ".join(words).replace("à", garble("à")), 11: "résumé " + garble("à") + " l" + garble("’") + "été, rôle fâché"}
+
+
+def test_long_words_and_many_spellings(spark):
+    long = "ganzlangeswort" * 8
+    clean = [f"{long}ä{c}" for c in "abcd"]
+    rows = [(i, " ".join(clean), None) for i in range(4)] + [(9, " ".join(w.encode().decode("cp1252") for w in clean), None)]
+    rows += [(100 + i, f"{chr(0x2018 + i % 40)}the{chr(0x2018 + i // 40)}", None) for i in range(600)]  # one skeleton, many spellings
+    d = spark.createDataFrame(rows, "result_id long, text string, title string")
+    assert {r.result_id: r.repaired for r in encoding.damaged(d).collect()} == {9: " ".join(clean)}
+
+
 # 3
 
 
