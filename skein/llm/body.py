@@ -17,12 +17,15 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import spread
 
-#: Bound of the labelled sample: pages, and nodes kept of each.
+#: Bounds of the labelled sample: files it is drawn from, pages, and nodes drawn of each page.
+TRAIN_FILES = 64
 TRAIN_PAGES = 1500
 TRAIN_NODES = 400
 #: Features are hashed to so many places.
@@ -36,6 +39,7 @@ OWNERS = frozenset("p li h1 h2 h3 h4 h5 h6 dt dd pre caption figcaption blockquo
 CLOSES_P = frozenset("p div ul ol dl table section article aside header footer nav main pre h1 h2 h3 h4 h5 h6 blockquote form address td tr th hr figure dialog".split())
 BODY_CHAIN = frozenset("p li ul ol dl dt dd h1 h2 h3 h4 h5 h6 pre table tbody thead tr td th blockquote figure figcaption caption header".split())
 RAW = frozenset(("script", "style", "noscript", "template", "svg"))
+RAW_END = {t: re.compile(f"</{t}", re.I) for t in RAW}
 TOKEN = re.compile(r"<!--.*?-->|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)([^<>]*)>|([^<]+|<)", re.S)
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 SPACE = re.compile(r"\s+")
@@ -122,7 +126,8 @@ def parse(source: str) -> Page:
                 stack.pop()
             continue
         if tag in RAW:
-            end = source.lower().find(f"</{tag}", at) if m.group(3)[-1:] != "/" else at
+            found = RAW_END[tag].search(source, at) if m.group(3)[-1:] != "/" else None
+            end = at if m.group(3)[-1:] == "/" else found.start() if found else -1
             if end >= 0:
                 close = source.find(">", end)
                 at = size if close < 0 else max(close + 1, at) if end > at or source.startswith("</", end) else at
@@ -159,8 +164,6 @@ class _Place(dict):
     """Feature to its hashed place."""
 
     def __missing__(self, name: str) -> int:
-        import xxhash
-
         if len(self) > 300_000:
             self.clear()
         v = self[name] = xxhash.xxh3_64_intdigest(name) % DIMS
@@ -184,7 +187,7 @@ def look_of_text(key: tuple[str, bool, bool, bool, bool]) -> list[str]:
     """Features of a text: length, links, signs, its first and last words, and how it fits the title."""
     text, some_link, most_link, is_title, has_title = key
     n = len(text)
-    words = WORD.findall(text[:160].lower())[:16]
+    words = WORD.findall(text.lower())
     first, last = text[0], text[-1]
     out = [
         f"len:{n.bit_length()}",
@@ -248,7 +251,7 @@ def keys_of(page: Page, blind: bool = False) -> list[tuple[tuple, tuple | None]]
         look = None
         if text and not text.isspace():
             text = _even(text)
-            mine = text[:400].lower() if title else ""
+            mine = text.lower() if title else ""
             look = (text, page.linked[i] > 0, page.linked[i] * 2 > len(text), len(mine) > 3 and title.startswith(mine), bool(part) and part in mine)
         out.append((node, look))
     return out
@@ -306,16 +309,31 @@ _GROUP = {"p": 1, "li": 2, "ul": 3, "ol": 3, "h1": 4, "h2": 4, "h3": 4, "td": 5,
 GROUPS = 9
 
 
-def train(pages: DataFrame, limit: int = TRAIN_PAGES) -> Model:
-    """Fit both potentials on at most limit pages, chosen by a hash of their ids.
+def training_rows(pages: DataFrame, files: int = TRAIN_FILES) -> DataFrame:
+    """The rows a sample is drawn from: those of at most so many files, chosen by a hash of their names, so that the others are not read.
+
+    A frame that is no plain scan of files, or of fewer, is taken whole.
+    """
+    names = sorted({f.rpartition("/")[2] for f in pages.inputFiles()})
+    if len(names) <= files:
+        return pages
+    order = sorted(names, key=lambda n: xxhash.xxh3_64_intdigest(n, 11))
+    try:
+        return pages.where(F.col("_metadata.file_name").isin(*order[:files]))
+    except AnalysisException:
+        return pages
+
+
+def train(pages: DataFrame, limit: int = TRAIN_PAGES, nodes: int = TRAIN_NODES) -> Model:
+    """Fit both potentials on at most limit pages, chosen by a hash of their ids, and at most so many nodes of each, drawn from the whole page.
 
     The sample serves training only; every page is judged by the model. Without any page
     that has a heading the model leaves every node undecided, which counts as content.
     """
-    rows = pages.where("html is not null and result_id is not null")
-    n = rows.count()
+    rows = training_rows(pages.where("result_id is not null"))
+    n = rows.select("result_id").count()  # of the ids alone
     share = min(1.0, 1.3 * limit / max(n, 1))
-    picked = rows.where(F.pmod(F.xxhash64("result_id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20))).select("html")
+    picked = rows.where(F.pmod(F.xxhash64("result_id", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20))).select("html").where("html is not null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         place = _Place()
@@ -326,12 +344,16 @@ def train(pages: DataFrame, limit: int = TRAIN_PAGES) -> Model:
                 if labels is None:
                     continue
                 # every third page is shown without its heading, so that pages lacking one can be judged
-                looks = [[place[f] for f in x] for x in features(page, blind=len(h) % 3 == 0)[:TRAIN_NODES]]
-                k = len(looks)
-                group = [_GROUP.get(t, 0) for t in page.tag[:k]]
-                yield pd.DataFrame({"looks": [[v for x in looks for v in x]], "ends": [np.cumsum([len(x) for x in looks]).tolist()], "label": [labels[:k]], "parent": [page.parent[:k]], "grp": [group]})
-
-    got = spread(picked).mapInPandas(run, "looks array<int>, ends array<int>, label array<int>, parent array<int>, grp array<int>").limit(limit).collect()
+                keys = keys_of(page, blind=len(h) % 3 == 0)
+                k = len(keys)
+                pick = range(k) if k <= nodes else sorted(np.random.default_rng(k).choice(k, nodes, replace=False).tolist())
+                looks = [[place[f] for f in look_of_node(keys[i][0]) + (look_of_text(keys[i][1]) if keys[i][1] else [])] for i in pick]
+                yield pd.DataFrame({
+                    "looks": [[v for x in looks for v in x]], "ends": [np.cumsum([len(x) for x in looks]).tolist()], "label": [[labels[i] for i in pick]],
+                    "up": [[labels[page.parent[i]] if page.parent[i] >= 0 else -1 for i in pick]], "grp": [[_GROUP.get(page.tag[i], 0) for i in pick]],
+                })
+
+    got = spread(picked).mapInPandas(run, "looks array<int>, ends array<int>, label array<int>, up array<int>, grp array<int>").limit(limit).collect()
     w = np.zeros(DIMS)
     pair = np.ones((GROUPS, 2, 2))
     if not got:
@@ -341,9 +363,9 @@ def train(pages: DataFrame, limit: int = TRAIN_PAGES) -> Model:
     y = np.concatenate([np.asarray(r.label, float) for r in got])
     start = np.concatenate([[0], np.cumsum(lens)])
     for r in got:
-        lab, par, grp = np.asarray(r.label), np.asarray(r.parent), np.asarray(r.grp)
-        has = par >= 0
-        np.add.at(pair, (grp[has], lab[par[has]], lab[has]), 1)
+        lab, up, grp = np.asarray(r.label), np.asarray(r.up), np.asarray(r.grp)
+        has = up >= 0
+        np.add.at(pair, (grp[has], up[has], lab[has]), 1)
     scale = np.full(DIMS, 1e-6)
     order = np.random.default_rng(5).permutation(len(y))
     for _ in range(EPOCHS):  # adaptive gradient steps of a logistic regression
