@@ -9,7 +9,8 @@ threshold are located, extended to the right and reported.
 What is sent to a shard follows from sampling that loses nothing: of every window of
 SPAN characters the K-gram with the least hash is an anchor, so a shared span of SPAN
 characters holds an anchor in both documents. Anchors of one text only are dropped; the
-rest name the shard, and only the text around them is indexed.
+rest name the shard, and only the text around them is indexed. Anchors of a document whose
+surroundings are the same (repetitive text has one every few characters) are looked up once.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ K = 80
 BLOCK = 2000
 #: Characters indexed together; small shards share an index.
 INDEX_CHARS = 400_000
+#: Shards of more characters are split by anchor, too; an index takes about 100 bytes a character.
+SHARD_CHARS = 2_000_000
 SLICE_CHARS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 _UNIT = 1 << 64
@@ -46,12 +49,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
-def anchors(cp: np.ndarray, lens: np.ndarray, k: int = K, span: int = SPAN, powers: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, position, hash) of the anchors of documents that lie one after another in cp."""
+def anchors(cp: np.ndarray, lens: np.ndarray, k: int = K, span: int = SPAN, powers: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, position, hash, context) of the anchors of documents that lie one after another in cp.
+
+    context is a hash of the text up to span - k characters beyond the anchor on either side.
+    """
     none = np.zeros(0, np.int64)
     n = len(cp)
     if n < span or not (lens >= span).any():
-        return none, none, none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none.astype(np.uint64)
     up, down = powers if powers is not None and len(powers[0]) > n else _powers(n + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(cp.astype(np.uint64) + np.uint64(77)) * up[:n])])
     gram = mix64((total[k:] - total[:-k]) * down[: n - k + 1])
@@ -71,7 +77,10 @@ def anchors(cp: np.ndarray, lens: np.ndarray, k: int = K, span: int = SPAN, powe
     at = np.unique(least[np.repeat(starts[held], count) + ramp] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     doc = np.searchsorted(starts, at, side="right") - 1
     # empty documents share their start with the next one
-    return doc, at - starts[doc], gram[at]
+    wing = span - k
+    left, right = np.maximum(at - wing, starts[doc]), np.minimum(at + k + wing, starts[doc] + lens[doc])
+    around = mix64((total[right] - total[left]) * down[left] + mix64((at - left).astype(np.uint64) * np.uint64(1 << 20) + (right - at).astype(np.uint64)))
+    return doc, at - starts[doc], gram[at], around
 
 
 def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +90,7 @@ def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchored(documents: DataFrame, k: int = K, span: int = SPAN) -> DataFrame:
-    """(h, doc_id, pos, sig): the anchors of every text of at least span characters; sig names the text."""
+    """(h, doc_id, pos, sig, ctx): the anchors of every text of at least span characters; sig names the text, ctx what stands around the anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _powers(SLICE_CHARS + 1)
@@ -94,12 +103,12 @@ def anchored(documents: DataFrame, k: int = K, span: int = SPAN) -> DataFrame:
                 b = whole.slice(at, end - at)
                 at = end
                 cp, lens = code_points(b.column(2))
-                doc, pos, h = anchors(cp, lens, k, span, powers)
+                doc, pos, h, ctx = anchors(cp, lens, k, span, powers)
                 pick = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(pick), pa.array(pos.astype(np.int32)), b.column(1).take(pick)], names=["h", "doc_id", "pos", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(pick), pa.array(pos.astype(np.int32)), b.column(1).take(pick), pa.array(ctx.view(np.int64))], names=["h", "doc_id", "pos", "sig", "ctx"])
 
     rows = documents.where((F.length("text") >= span) & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("sig"), "text")
-    return spread(rows).mapInArrow(run, "h bigint, doc_id bigint, pos int, sig bigint")
+    return spread(rows).mapInArrow(run, "h bigint, doc_id bigint, pos int, sig bigint, ctx bigint")
 
 
 class FMIndex:
@@ -212,7 +221,7 @@ def _agree(seq: np.ndarray, a: np.ndarray, b: np.ndarray, step: int, most: int)
 
 
 def shard_matches(docs: np.ndarray, blocks: np.ndarray, spread: np.ndarray, offsets: np.ndarray, texts: list[str], places: list[list[int]], k: int = K, span: int = SPAN) -> tuple[np.ndarray, ...]:
-    """(a, b, start_a, start_b, length) of the spans shared within one shard of regions.
+    """(a, b, start_a, start_b, length, pos_a, pos_b) of the spans shared within one shard of regions, with the anchors they lie around.
 
     Region i holds text texts[i] from position offsets[i] of document docs[i] on, and anchors
     at places[i] of the document. spread[i]: its shard is a meeting of two blocks, and only
@@ -220,9 +229,9 @@ def shard_matches(docs: np.ndarray, blocks: np.ndarray, spread: np.ndarray, offs
     either side; neighbouring anchors cover what is cut.
     """
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
-    seq = np.frombuffer("\x00".join(t.replace("\x00", "\U0010ffff") for t in texts).encode("utf-32-le"), np.uint32)
-    seq = np.concatenate([seq, np.zeros(1, np.uint32)])
+    seq = np.frombuffer("\x00".join([*texts, ""]).encode("utf-32-le"), np.uint32) + np.uint32(1)  # every character is a symbol above 0
     start = np.concatenate([[0], np.cumsum(lens + 1)[:-1]])
+    seq[start + lens] = 0
     count = np.fromiter(map(len, places), np.int64, len(places))
     region = np.repeat(np.arange(len(texts)), count)
     ends = np.fromiter((p for x in places for p in x), np.int64, int(count.sum())) - offsets[region] + start[region] + k
@@ -233,7 +242,7 @@ def shard_matches(docs: np.ndarray, blocks: np.ndarray, spread: np.ndarray, offs
     right = np.minimum(wing, start[region] + lens[region] - ends)
     use = (hi - lo > 1) & (depth + right >= span)
     head = np.unique(np.stack([lo[use], hi[use]]), axis=1) if use.any() else np.zeros((2, 0), np.int64)
-    out: list[list[np.ndarray]] = [[] for _ in range(5)]
+    out: list[list[np.ndarray]] = [[] for _ in range(7)]
     may = np.zeros(len(seq), bool)
     may[ends[use] - k] = True
     for a, b in head.T.tolist():
@@ -255,15 +264,16 @@ def shard_matches(docs: np.ndarray, blocks: np.ndarray, spread: np.ndarray, offs
                 continue
             left, more, theirs, rest = left[good], more[good], theirs[good], rest[good]
             x, y = np.full(len(theirs), docs[own[i]]), docs[theirs]
-            sx = offsets[own[i]] + at[i] - start[own[i]] - left
-            sy = offsets[theirs] + rest - start[theirs] - left
+            px = np.full(len(theirs), offsets[own[i]] + at[i] - start[own[i]])
+            py = offsets[theirs] + rest - start[theirs]
             turn = x > y
-            for col, v in zip(out, (np.where(turn, y, x), np.where(turn, x, y), np.where(turn, sy, sx), np.where(turn, sx, sy), left + k + more), strict=True):
+            pick = lambda v, w, turn=turn: np.where(turn, w, v)
+            for col, v in zip(out, (pick(x, y), pick(y, x), pick(px - left, py - left), pick(py - left, px - left), left + k + more, pick(px, py), pick(py, px)), strict=True):
                 col.append(v)
     return tuple(np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
 
 
-_MATCH = "a bigint, b bigint, start_a bigint, start_b bigint, length bigint"
+_MATCH = "a bigint, b bigint, start_a bigint, start_b bigint, length bigint, pos_a bigint, pos_b bigint"
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +288,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.array([r["doc_id"] for r in rows], np.int64), np.array([r["own"] for r in rows], np.int64), np.array([r["lo"] != r["hi"] for r in rows], bool),
             np.array([r["off"] for r in rows], np.int64), [r["region"] for r in rows], [r["places"] for r in rows],
         )
-        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in got], names=["a", "b", "start_a", "start_b", "length"])
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in got], names=["a", "b", "start_a", "start_b", "length", "pos_a", "pos_b"])
 
     whole: list[list[dict]] = []
     size = 0
@@ -313,32 +323,43 @@ def text_classes(documents: DataFrame, span: int = SPAN) -> DataFrame:
     return keyed.join(keyed.groupBy("same").agg(F.min("doc_id").alias("rep")), "same").select("doc_id", "rep").distinct()
 
 
-def class_matches(documents: DataFrame, k: int = K, span: int = SPAN, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(matches between class representatives, classes): see shard_matches and text_classes."""
+def class_matches(documents: DataFrame, k: int = K, span: int = SPAN, block: int = BLOCK, shard_chars: int = SHARD_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(matches between class representatives, classes, places): see shard_matches and text_classes.
+
+    places: (h, doc_id, ctx, pos, others): one anchor of each surroundings in a document, and
+    where else in it the same stands.
+    """
     classes = materialize(text_classes(documents, span), "span-classes")
-    reps = classes.where("doc_id = rep").select("doc_id")
+    copies = classes.where("doc_id != rep").select("doc_id")
     grams = materialize(anchored(documents, k, span), "span-anchors")
-    shared = grams.groupBy("h").agg(F.min("sig").alias("s0"), F.max("sig").alias("s1")).where("s0 != s1").select("h")
-    places = materialize(grams.select("h", "doc_id", "pos").join(shared, "h").join(reps, "doc_id", "left_semi").dropDuplicates(["h", "doc_id", "pos"]), "span-places")
+    shared = materialize(grams.groupBy("h").agg(F.min("sig").alias("s0"), F.max("sig").alias("s1")).where("s0 != s1").select("h"), "span-shared")
+    mine = grams.select("h", "doc_id", "ctx", "pos").join(shared, "h").join(copies, "doc_id", "left_anti")
+    places = mine.groupBy("h", "doc_id", "ctx").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_set("pos")).alias("others"))
+    places = materialize(places, "span-places")
     # anchors of the same documents get the same shard; which shard is a matter of speed only
     least = places.groupBy("doc_id").agg(F.min("h").alias("own_least"))
     named = places.join(least, "doc_id").groupBy("h").agg(F.min("own_least").alias("name"))
-    tagged = places.join(named, "h")
-    wide = tagged.groupBy("name").agg(F.count_distinct("doc_id").alias("docs")).where(F.col("docs") > block).select("name", F.lit(True).alias("wide"))
+    tagged = materialize(places.select("h", "doc_id", "pos").join(named, "h"), "span-tagged")
+    wing = span - k
+    cut_from, cut_to = F.greatest(F.min("pos") - wing, F.lit(0)), F.max("pos") + span
+    size = tagged.groupBy("name", "doc_id").agg((cut_to - cut_from).cast("bigint").alias("chars")).groupBy("name").agg(F.count(F.lit(1)).alias("docs"), F.sum("chars").alias("chars"))
+    wide = size.where((F.col("docs") > block) | (F.col("chars") > shard_chars)).select("name", F.lit(True).alias("wide"))
     keyed = tagged.join(wide, "name", "left").select(F.when(F.col("wide"), F.col("h")).otherwise(F.col("name")).alias("shard"), F.coalesce("wide", F.lit(False)).alias("wide"), "doc_id", "pos")
-    rows = keyed.groupBy("shard", "wide", "doc_id").agg(F.array_sort(F.collect_set("pos")).alias("places"))
-    size = rows.where("wide").groupBy("shard").agg(F.count(F.lit(1)).alias("members"))
-    rows = rows.join(size, "shard", "left").withColumn("parts", F.coalesce(F.ceil(F.col("members") / block).cast("int"), F.lit(1)))
+    # a wide shard takes each place by itself, so that no region is longer than a span and its wings
+    rows = keyed.groupBy("shard", "wide", "doc_id", F.when(F.col("wide"), F.col("pos")).alias("one")).agg(F.array_sort(F.collect_set("pos")).alias("places")).drop("one")
+    crowd = rows.where("wide").groupBy("shard").agg(F.count(F.lit(1)).alias("members"))
+    rows = rows.join(crowd, "shard", "left").withColumn("parts", F.coalesce(F.ceil(F.col("members") / block).cast("int"), F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    wing = span - k
     off = F.greatest(F.array_min("places") - wing, F.lit(0))
-    texts = documents.where(F.length("text") >= span).select("doc_id", "text")
+    # of the texts only those with a place are moved
+    held = materialize(places.select("doc_id").distinct(), "span-held")
+    texts = documents.where(F.length("text") >= span).select("doc_id", "text").join(held, "doc_id", "left_semi")
     cut = rows.join(texts, "doc_id").select(
         "shard", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", off.alias("off"), "places",
         F.substring(F.col("text"), off + 1, F.array_max("places") + span - off).alias("region"),
     )
     found = cut.repartition("shard", "lo", "hi").sortWithinPartitions("shard", "lo", "hi", "doc_id").mapInArrow(_search, _MATCH)
-    return found, classes
+    return found, classes, places
 
 
 def shared_pairs(documents: DataFrame, span: int = SPAN) -> DataFrame:
@@ -346,7 +367,7 @@ def shared_pairs(documents: DataFrame, span: int = SPAN) -> DataFrame:
 
     NULL, empty and shorter texts are in no pair; equal texts of at least span characters are.
     """
-    found, classes = class_matches(documents, span=span)
+    found, classes, _ = class_matches(documents, span=span)
     links = found.select("a", "b").distinct()
     many = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
     x = classes.select(F.col("rep").alias("a"), F.col("doc_id").alias("x"))
@@ -361,9 +382,15 @@ def shared_parts(documents: DataFrame, span: int = SPAN) -> DataFrame:
     Every document comes out, those without a shared span with 0; a text that another
     document repeats whole is shared whole. NULL texts have 0 characters.
     """
-    found, classes = class_matches(documents, span=span)
+    found, classes, places = class_matches(documents, span=span)
     found = materialize(found, "span-matches")
-    sides = found.select(F.col("a").alias("rep"), F.col("b").alias("with"), F.col("start_a").alias("s"), "length").unionByName(found.select(F.col("b").alias("rep"), F.col("a").alias("with"), F.col("start_b").alias("s"), "length"))
+    side = lambda x, y: found.select(F.col(x).alias("rep"), F.col(y).alias("with"), F.col(f"start_{x}").alias("s"), "length", F.col(f"pos_{x}").alias("pos"))
+    sides = side("a", "b").unionByName(side("b", "a"))
+    # what is shared around an anchor is shared wherever the document repeats its surroundings
+    often = places.where(F.size("others") > 1).select(F.col("doc_id").alias("rep"), F.col("pos").cast("bigint").alias("pos"), "others")
+    once = sides.join(often, ["rep", "pos"], "left_anti").select("rep", "with", "s", "length")
+    more = sides.select("rep", "pos", (F.col("s") - F.col("pos")).alias("d"), "length", "with").join(often, ["rep", "pos"]).select("rep", "with", "d", "length", F.explode("others").alias("at")).select("rep", "with", (F.col("at") + F.col("d")).alias("s"), "length")
+    sides = once.unionByName(more)
     spans = sides.groupBy("rep").agg(F.array_sort(F.collect_set(F.struct(F.col("s"), (F.col("s") + F.col("length")).alias("e")))).alias("spans"))
     size = classes.groupBy("rep").agg(F.count(F.lit(1)).alias("m"))
     reach = sides.select("rep", "with").distinct().join(size.withColumnRenamed("rep", "with"), "with").groupBy("rep").agg(F.sum("m").alias("others"))

@@ -392,10 +392,31 @@ def test_spans_in_blocks(spark):
     common = "".join(rng.choice("abcdefgh ") for _ in range(230))
     texts = {i: "".join(rng.choice("abcdefgh ") for _ in range(60)) + common + str(i) for i in range(25)}
     d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    found, _ = spans.class_matches(d, block=4)
+    found, _, _ = spans.class_matches(d, block=4)
     assert {(r.a, r.b) for r in found.collect()} == {(a, b) for a in range(25) for b in range(a + 1, 25)}
 
 
+def test_repetitive_and_large_shards(spark):
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    common = noise(900)
+    texts = {0: "word " * 400, 1: noise(50) + "word " * 300 + noise(40), 2: "x" * 700, 3: noise(30) + "x" * 260, 4: common + noise(90), 5: noise(40) + common, 6: common[:300] + noise(60) + common[400:800], 7: "a\x00b" * 90, 8: "z" + "a\x00b" * 90, 9: "a\U0010ffffb" * 90}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    pairs, parts = spans_by_force(texts)
+    found, _, _ = spans.class_matches(d, shard_chars=300)  # every shard is split by anchor
+    assert {(r.a, r.b) for r in found.collect()} == pairs == {tuple(r) for r in spans.shared_pairs(d).collect()}
+    assert (7, 8) in pairs and (7, 9) not in pairs
+    assert {r.doc_id: r.shared_chars for r in spans.shared_parts(d).collect()} == parts
+
+
+def test_repeats_cost_one_lookup(spark):
+    """A text of one phrase has an anchor every few characters, and one place per surroundings."""
+    d = spark.createDataFrame([(1, "word " * 20_000), (2, "start " + "word " * 20_000)], "doc_id long, text string")
+    found, _, places = spans.class_matches(d)
+    assert places.count() < 200 and {(r.a, r.b) for r in found.collect()} == {(1, 2)}
+    assert {r.doc_id: r.shared_chars for r in spans.shared_parts(d).collect()} == {1: 100_000, 2: 100_001}  # the blank before, too
+
+
 def test_index_counts():
     rng = np.random.default_rng(5)
     seq = np.concatenate([rng.integers(1, 5, 3000), [0]])
