@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import forget, materialize, mix64, spread
+from skein.llm.common import forget, materialize, mix64, narrowed, spread, without
 
 MIN_WORDS = 60
 SHINGLE = 3
@@ -128,7 +128,7 @@ def candidates(reps: DataFrame, block: int = BLOCK) -> DataFrame:
     buckets = reps.select("result_id", "n", F.explode("bands").alias("band"))
     crowded = materialize(buckets.groupBy("band").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "neardup-crowded")
     parts = F.ceil(F.col("members") / block).cast("int")
-    rows = buckets.join(crowded, "band").select("band", "result_id", "n", parts.alias("parts"), F.pmod(F.xxhash64("result_id"), parts).cast("int").alias("own"))
+    rows = narrowed(buckets, "band", crowded.select("band")).join(crowded, "band").select("band", "result_id", "n", parts.alias("parts"), F.pmod(F.xxhash64("result_id"), parts).cast("int").alias("own"))
     met = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
         "band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "result_id", "n", "own"
     )
@@ -151,11 +151,16 @@ def likely(pairs: DataFrame, sets: DataFrame, least: float = LEAST_ESTIMATE) ->
             keep = pa.array((x == y).mean(axis=1) >= least) if b.num_rows else pa.array([], pa.bool_())
             yield b.select(["a", "b"]).filter(keep)
 
-    own = sets.select("result_id", "sketch")
+    own = narrowed(sets.select("result_id", "sketch"), "result_id", ends(pairs))
     j = pairs.join(own.select(F.col("result_id").alias("a"), F.col("sketch").alias("x")), "a").join(own.select(F.col("result_id").alias("b"), F.col("sketch").alias("y")), "b")
     return j.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    """(result_id): the distinct ends of pairs (a, b)."""
+    return pairs.select(F.col("a").alias("result_id")).unionByName(pairs.select(F.col("b").alias("result_id"))).distinct()
+
+
 def once(sets: DataFrame) -> DataFrame:
     """One row per result_id: of several the one with the least sig. Only rows of repeated ids are moved."""
     twice = materialize(sets.groupBy("result_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("result_id"), "neardup-twice")
@@ -177,12 +182,12 @@ def similar_classes(pages: DataFrame, text: str = "markdown") -> tuple[DataFrame
     members = materialize(ids.join(ids.groupBy("sig").agg(F.min("result_id").alias("rep")), "sig").select("result_id", "rep"), "neardup-members")
     # representatives are told by what they are not, so that few ids are looked up
     copies = members.where("result_id != rep").select("result_id")
-    sets = all_.join(copies, "result_id", "left_anti")
+    sets = without(all_, "result_id", copies)
     met = materialize(candidates(sets), "neardup-candidates")
     pairs = materialize(likely(met, sets).distinct(), "neardup-likely")
-    paired = pairs.select(F.col("a").alias("result_id")).unionByName(pairs.select(F.col("b").alias("result_id"))).distinct()
-    kept = sets.select("result_id", "sig", "n", "shingles").join(paired, "result_id", "left_semi").join(ids.select("result_id", "sig").join(paired, "result_id", "left_semi"), ["result_id", "sig"], "left_semi")
-    own = materialize(kept.dropDuplicates(["result_id"]), "neardup-kept")
+    paired = materialize(ids.select("result_id", "sig").join(ends(pairs), "result_id", "left_semi"), "neardup-paired")
+    found = narrowed(sets.select("result_id", "sig", "n", "shingles"), "result_id", paired.select("result_id"))
+    own = materialize(found.join(paired, ["result_id", "sig"], "left_semi").dropDuplicates(["result_id"]), "neardup-kept")
     left = pairs.join(own.select(F.col("result_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a")
     both = left.join(own.select(F.col("result_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))

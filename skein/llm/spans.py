@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import materialize, mix64, spread
+from skein.llm.common import materialize, mix64, narrowed, spread, without
 
 #: Characters (code points) a shared span must have.
 SPAN = 200
@@ -333,7 +333,7 @@ def class_matches(documents: DataFrame, k: int = K, span: int = SPAN, block: int
     copies = classes.where("doc_id != rep").select("doc_id")
     grams = materialize(anchored(documents, k, span), "span-anchors")
     shared = materialize(grams.groupBy("h").agg(F.min("sig").alias("s0"), F.max("sig").alias("s1")).where("s0 != s1").select("h"), "span-shared")
-    mine = grams.select("h", "doc_id", "ctx", "pos").join(shared, "h").join(copies, "doc_id", "left_anti")
+    mine = without(narrowed(grams.select("h", "doc_id", "ctx", "pos"), "h", shared).join(shared, "h"), "doc_id", copies)
     places = mine.groupBy("h", "doc_id", "ctx").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_set("pos")).alias("others"))
     places = materialize(places, "span-places")
     # anchors of the same documents get the same shard; which shard is a matter of speed only
@@ -353,7 +353,8 @@ def class_matches(documents: DataFrame, k: int = K, span: int = SPAN, block: int
     off = F.greatest(F.array_min("places") - wing, F.lit(0))
     # of the texts only those with a place are moved
     held = materialize(places.select("doc_id").distinct(), "span-held")
-    texts = documents.where(F.length("text") >= span).select("doc_id", "text").join(held, "doc_id", "left_semi")
+    texts = documents.where(F.length("text") >= span).select("doc_id", "text")
+    texts = narrowed(texts, "doc_id", held).join(held, "doc_id", "left_semi")
     cut = rows.join(texts, "doc_id").select(
         "shard", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "doc_id", off.alias("off"), "places",
         F.substring(F.col("text"), off + 1, F.array_max("places") + span - off).alias("region"),

@@ -432,6 +432,19 @@ def test_index_counts():
         assert sorted(ix.sa[int(lo[0]) : int(hi[0])].tolist()) == want
 
 
+def test_narrowing_by_bitmap(spark):
+    from skein.llm import common
+
+    df = spark.range(0, 40_000, 1, 4).withColumn("x", F.col("id") * 3).unionByName(spark.createDataFrame([(None, 1)], "id long, x long"))
+    ids = spark.range(100, 40_000, 100).withColumnRenamed("id", "other")
+    near = common.narrowed(df, "id", ids)
+    assert 399 <= near.count() < 500 and near.columns == df.columns
+    assert near.join(ids, near.id == ids.other).count() == 399
+    rest = common.without(df, "id", ids)
+    assert rest.count() == 40_001 - 399 and rest.where("id % 100 = 0 and id > 0").count() == 0
+    assert common.without(df, "id", ids.limit(0)).count() == 40_001 and common.narrowed(df, "id", ids.limit(0)).count() == 0
+
+
 def test_shared_folder_setting(spark):
     from skein.llm.common import shared_dir
 
