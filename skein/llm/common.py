@@ -46,9 +46,9 @@ def join_sites(rows: DataFrame, per_site: DataFrame, sizes: DataFrame, site: str
     return split.join(each, [site, "_part"], "left").drop("_part")
 
 
-#: Bits of a bitmap of keys: 8 MB, whatever the number of keys.
-BITS = 1 << 26
 _WORD = 1 << 15
+#: Bits of a bitmap of keys: with what a hashed relation adds, its 960 rows stay just below 4 MB, whatever the number of keys.
+BITS = 960 * _WORD
 
 
 def _place(key: Column) -> Column:
@@ -59,7 +59,7 @@ def _hits(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """df with _hit: false only for rows whose key is surely not among ids (one column of the same type).
 
     The hashes of ids set bits of a map of BITS bits in rows of 4 KB, so the map that is
-    broadcast has at most 8 MB. With far more ids than bits it tells nothing apart, and
+    broadcast has at most 4 MB. With far more ids than bits it tells nothing apart, and
     what follows sees all rows.
     """
     place = _place(F.col(ids.columns[0]))
