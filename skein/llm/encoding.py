@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -198,7 +199,13 @@ def words(records: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 
 
 def characters(clean: str, garbled: str) -> list[tuple[str, str]] | None:
-    """The characters of a clean run with what each became, if their UTF-8 bytes came out as one character each."""
+    """The characters of a clean run with what each became, if their UTF-8 bytes came out as one character each.
+
+    None where a character stands on beside others, or where invisible characters, blanks or
+    combining marks are among what came out: such writings are other ways to the same look.
+    """
+    if any(unicodedata.category(c) in ("Cf", "Mn", "Zs", "Cc") for c in garbled):
+        return None
     sizes = [len(c.encode()) for c in clean]
     if sum(sizes) != len(garbled):
         return None
@@ -206,7 +213,7 @@ def characters(clean: str, garbled: str) -> list[tuple[str, str]] | None:
     for c, k in zip(clean, sizes, strict=True):
         out.append((c, garbled[at : at + k]))
         at += k
-    return out
+    return None if any(c in part for c, part in out) else out
 
 
 def learn(counted: DataFrame) -> DataFrame:

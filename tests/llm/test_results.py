@@ -108,6 +108,18 @@ def test_learning_an_unlisted_table(spark):
     assert got == {10: " ".join(words).replace("à", garble("à")), 11: "résumé " + garble("à") + " l" + garble("’") + "été, rôle fâché"}
 
 
+def test_other_writings_are_no_misreading(spark):
+    """Zero-width characters, odd blanks and combining marks beside letters teach nothing."""
+    words = "préposé déplacé allée pavée façade forêt hôtel contrôle théâtre élève père mère dépôt mañana señor niño".split()
+    rows = [(i, " ".join(words), None) for i in range(5)]
+    for k, mark in enumerate("\u200b\u200d\u00ad\u00a0\ufeff"):
+        rows += [(100 + k, " ".join(re.sub("([^\\x00-\\x7f])", "\\1" + mark, w) for w in words), None), (200 + k, " ".join(re.sub("([^\\x00-\\x7f])", mark + "\\1", w) for w in words), None)]
+    rows += [(300, unicodedata.normalize("NFD", " ".join(words)), None), (301, " ".join(words).translate(str.maketrans("éèô", "еѐо")), None)]
+    d = spark.createDataFrame(rows, "result_id long, text string, title string")
+    assert encoding.learned_tables(encoding.learn(encoding.words(d, ("text", "title")))) == ()
+    assert encoding.damaged(d).count() == 0
+
+
 def test_long_words_and_many_spellings(spark):
     long = "ganzlangeswort" * 8
     clean = [f"{long}ä{c}" for c in "abcd"]
