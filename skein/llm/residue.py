@@ -16,6 +16,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -127,15 +128,33 @@ ID_TAIL = re.compile(r"\W*\b(?:request id|session token|ray|reference|réf|ref|t
 SENTENCE = re.compile(r"\n+|(?<=[.!?…。])[ ]+(?=\S)")
 QUOTE_PAIR = re.compile(r'["“„«`‘][^"“”„«»`’\n]{2,80}["”“»`’]')
 MASK = re.compile(r"(?=[0-9a-f]*\d)[0-9a-f]{6,}|/[\w\-/]+|\d+(?:[.,]\d+)*")
+MASKED = re.compile(r"[0-9/]")
+#: A path of links before a sentence.
+TRAIL = re.compile(r"^[^»>/]{1,60}[»>/] .*[»>/] ")
 #: Look-alike letters to Latin, invisible characters to nothing.
 _PLAIN = str.maketrans({**LOOKALIKES, **dict.fromkeys("\u00ad\u200b\u200c\u200d\u2060\ufeff", "")})
 TERM = re.compile(r"[^\W\d_]{4,}")
 UNSPACED = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\u0e00-\u0e7f]")
 
 
+def _scanner(stems: tuple[str, ...]) -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for k in stems:
+        found.add_word(k, k)
+    found.make_automaton()
+    return found
+
+
+_SCAN = {stems: _scanner(stems) for stems in (STEMS, NOISE_STEMS)}
+
+
 def _says(sentence: str, stems: tuple[str, ...]) -> bool:
     low = sentence.lower()
-    return low[0].isdigit() or any(k in low for k in stems)
+    return low[0].isdigit() or next(_SCAN[stems].iter(low), None) is not None
+
+
+def _masked(s: str) -> str:
+    return MASK.sub("#", s) if MASKED.search(s) else s
 
 
 def _in_code(text: str, start: int, end: int) -> bool:
@@ -238,7 +257,9 @@ def judge_title(title: str, text: str, host: str = "") -> str | None:
 
 def says(sentence: str) -> bool:
     """Whether a sentence has a known wording of an error message or a demand for scripts; quoted ones are left out."""
-    bare = re.sub(r"^[^»>/]{1,60}[»>/] .*[»>/] ", "", sentence)
+    if not MASKED.search(sentence) and not _says(sentence, STEMS):
+        return False
+    bare = TRAIL.sub("", sentence)
     bare = MASK.sub("#", ID_TAIL.sub("", bare)) if len(bare) > 110 else bare
     return bool(bare) and _says(bare, STEMS) and MESSAGE.search(QUOTE_PAIR.sub(" ", bare)) is not None
 
@@ -283,7 +304,7 @@ def sentences(title: str, text: str, slug: str, host: str) -> list[tuple[str, in
         letters = sum(map(str.isalpha, p))
         if letters and ((said := says(p)) or not noise(p)):
             has = _terms(p)
-            out.append((MASK.sub("#", p), letters, bool(has & about) + 2 * (bool(has & named) and p.strip(" .!…") not in parts), said))
+            out.append((_masked(p), letters, bool(has & about) + 2 * (bool(has & named) and p.strip(" .!…") not in parts), said))
     return out
 
 
@@ -328,7 +349,7 @@ def unfit_body(url: str | None, title: str | None, text: str | None, slug: str)
     if not said or named & _terms(body := " ".join(said)):
         return None
     about = " ".join(sorted(_terms(slug))) or " ".join(sorted(_terms(head)))
-    return MASK.sub("#", body), about if named and about else None
+    return _masked(body), about if named and about else None
 
 
 _JUDGED = "result_id bigint, host string, slug bigint, title bigint, code int, open string, filler string, said array<boolean>, keys array<bigint>, letters array<int>, fits array<int>, body bigint, about bigint"
