@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -264,6 +265,7 @@ def says(sentence: str) -> bool:
     return bool(bare) and _says(bare, STEMS) and MESSAGE.search(QUOTE_PAIR.sub(" ", bare)) is not None
 
 
+@lru_cache(maxsize=8192)
 def noise(sentence: str) -> bool:
     """Whether a sentence is a legal line, a cookie notice, an id or the like."""
     return _says(sentence, NOISE_STEMS) and NOISE.search(sentence) is not None
@@ -320,15 +322,16 @@ def judge(url: str | None, title: str | None, text: str | None) -> tuple[str | N
     return kind or ("message" if poor and any(x[3] for x in each) else None), poor
 
 
-def _terms(text: str) -> set[str]:
+@lru_cache(maxsize=8192)
+def _terms(text: str) -> frozenset[str]:
     """Words of a title or slug; of scripts without blanks, runs of three characters."""
     out = set()
     words = map(str.lower, TERM.findall(text))
     if not UNSPACED.search(text):
-        return set(words)
+        return frozenset(words)
     for w in words:
         out.update([w] if not UNSPACED.search(w) else (w[i : i + 3] for i in range(len(w) - 2)))
-    return out
+    return frozenset(out)
 
 
 def unfit_body(url: str | None, title: str | None, text: str | None, slug: str) -> tuple[str, str | None] | None:
