@@ -7,6 +7,9 @@ through a key column for tables.
 
 from __future__ import annotations
 
+import base64
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,33 @@ class Keys:
         return f"Keys(versions={sorted(self.keys)}, current={self.current})"
 
 
+class RemoteKeys:
+    """Keys by version from a key service behind a port, each asked for once.
+
+    ask(version) returns (status, body), body holding the key in base64. A version that the
+    service does not know (404) is None; other failures are raised with the first 500
+    characters of the answer.
+    """
+
+    def __init__(self, ask: Callable[[int], tuple[int, str]]):
+        self.ask, self._held = ask, {}
+
+    def get(self, version: int | None) -> bytes | None:
+        if version is None:
+            return None
+        if version not in self._held:
+            status, body = self.ask(version)
+            if status != 404 and not 200 <= status < 300:
+                raise RuntimeError(f"key service answered {status}: {body[:500]}")
+            self._held[version] = None if status == 404 else base64.b64decode(body)
+        return self._held[version]
+
+    def keys(self, versions: list[int], current: int) -> Keys:
+        """The known ones of versions; the current one must be among them."""
+        found = {v: k for v in dict.fromkeys([*versions, current]) if (k := self.get(v)) is not None}
+        return Keys(found, current)
+
+
 def _key_table(df: DataFrame, keys: Keys) -> DataFrame:
     return df.sparkSession.createDataFrame([(v, bytearray(k)) for v, k in keys.keys.items()], "key_version int, __key binary")
 

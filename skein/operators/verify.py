@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.functions.text import quote_supported
+from skein.functions.text import even_spaces
 
 LOW = 0.7
 
@@ -25,9 +25,11 @@ def verify(citations: DataFrame, pages: DataFrame, key: str = "result_id", text:
     """citations with verified recomputed against the page's text, and support_score 0 where it is false.
 
     A citation whose page is missing or has no text is not verified; the quote is unchanged.
+    A page's text is evened out once, before its citations meet it.
     """
-    src = pages.select(key, F.col(text).alias("__text"))
-    j = citations.drop("verified").join(src, key, "left").withColumn("verified", quote_supported(F.col("quote"), F.col("__text"))).drop("__text")
+    src = pages.select(key, even_spaces(F.col(text)).alias("__text"))
+    quote = even_spaces(F.col("quote"))
+    j = citations.drop("verified").join(src, key, "left").withColumn("verified", F.coalesce((quote != "") & F.contains(F.col("__text"), quote), F.lit(False))).drop("__text")
     return j.withColumn("support_score", F.when(F.col("verified"), F.coalesce("support_score", F.lit(0.0))).otherwise(F.lit(0.0)))
 
 

@@ -18,7 +18,7 @@ from skein.functions import html as H
 from skein.functions import robots, urls
 from skein.functions.hosts import is_blocked
 from skein.functions.jsonschema import conforms
-from skein.operators import extraction, freshness, replay, search, verify
+from skein.operators import benchmark, extraction, freshness, replay, search, verify
 from skein.plans.catalog import _REQ, _requests, query
 from skein.sources import fetch, stores
 from skein.sources.stores import table
@@ -410,6 +410,40 @@ def search_answers(spark, d):
     return search.parse_answers(table(spark, d, "part").select(F.col("p_name").alias("query"), body.alias("body"))).select("query", "rank", "title", "url", "snippet")
 
 
+def canned_search(asked):
+    if asked["q"].endswith("7"):
+        return 429, "slow down"
+    if asked["q"].endswith("8"):
+        raise TimeoutError("no answer")
+    return 200, json.dumps({"web": {"results": [{"title": f"{asked['q']} {asked.get('freshness', 'any')} {asked['count']}", "url": "http://h/"}]}})
+
+
+@query("""SELECT 'part ' || p_partkey AS query, CASE WHEN p_partkey % 5 = 4 THEN 'client' WHEN p_partkey % 10 IN (7, 8) THEN 'upstream' END AS error_kind,
+CASE WHEN p_partkey % 5 <> 4 AND p_partkey % 10 NOT IN (7, 8) THEN 'part ' || p_partkey || CASE p_partkey % 5 WHEN 0 THEN ' pd' WHEN 1 THEN ' pw' WHEN 2 THEN ' py' ELSE ' any' END || ' 5' END AS title FROM part""")
+def search_asked(spark, d):
+    """A search service asked through its port: the vocabulary of time spans, and failures as rows."""
+    t = stores.spread(table(spark, d, "part").select(F.concat(F.lit("part "), F.col("p_partkey").cast("string")).alias("query"), by_case(["day", "week", "year", None, "hour"]).alias("span")))
+    got = stores.materialize(search.ask(t, canned_search, 5), "search-asked")
+    return got.select("query", "error_kind").join(search.parse_answers(got.where("body is not null")).select("query", "title"), "query", "left")
+
+
+@query("""SELECT 'upper' AS runner, count(*) AS fields, count(*) FILTER (p_partkey % 4 <> 0) AS cited, round(count(*) FILTER (p_partkey % 4 <> 0 AND p_partkey % 3 <> 0) / count(*), 6) AS field_accuracy,
+round(count(*) FILTER (p_partkey % 4 <> 0 AND p_partkey % 5 <> 0) / count(*) FILTER (p_partkey % 4 <> 0), 6) AS citation_rate, round(count(*) FILTER (p_partkey % 4 <> 0 AND (p_partkey % 5 <> 0 OR p_partkey % 7 = 0)) / count(*), 6) AS soft_rate FROM part""")
+def benchmark_rates(spark, d):
+    """A runner over labelled fixtures: it leaves out every fourth, errs on every third and cites what is not there on every fifth."""
+    t = table(spark, d, "part")
+    fixtures = t.select(F.col("p_partkey").alias("fixture_id"), F.lit("http://h/").alias("url"), F.concat(F.lit("The part is a "), F.col("p_name"), F.lit(".")).alias("text"))
+    name = F.regexp_extract("text", "is a (.*)[.]$", 1)
+
+    def upper(rows: DataFrame) -> DataFrame:
+        i = F.col("fixture_id")
+        value = F.when(i % 3 == 0, "wrong").otherwise(F.concat(F.lit(" "), F.upper(name)))
+        return rows.where(i % 4 != 0).select("fixture_id", F.lit("name").alias("field"), value.alias("value"), F.when(i % 7 == 0, 0.5).otherwise(0.9).alias("confidence"), F.when(i % 5 == 0, "not there").otherwise(F.upper(name)).alias("quote"), F.lit(0.8).alias("support_score"))
+
+    benchmark.RUNNERS["upper"] = upper
+    return benchmark.run("upper", fixtures, t.select(F.col("p_partkey").alias("fixture_id"), F.lit("name").alias("field"), F.col("p_name").alias("value")))
+
+
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS body, c_custkey % 5 <> 0 AS listed FROM customer""")
 def blob_cases(spark, d):
     """Blobs under a prefix: put, put again, delete, get and list, and a neighbour's prefix untouched."""

@@ -129,3 +129,25 @@ def test_schema_of_deep_values(spark):
 def test_blocked_alike_in_fetchers(spark):
     ips = ["8.8.8.8", "10.1.2.3", "::1", "::ffff:10.0.0.1", "abcd:", "1:2", "x", None, "2001:4860::1", "fe80::1%eth0", "1.2.3.4.5", "FD00::1"]
     assert col(spark, ips, hosts.is_blocked) == [hosts.blocked(x) for x in ips]
+
+
+def test_remote_keys(spark):
+    import base64
+
+    asked = []
+
+    def ask(version):
+        asked.append(version)
+        return (200, base64.b64encode(bytes([version]) * 32).decode()) if version < 3 else (404, "") if version == 3 else (500, "x" * 900)
+
+    remote = crypto.RemoteKeys(ask)
+    assert remote.get(None) is None and remote.get(3) is None and remote.get(1) == remote.get(1) == b"\1" * 32 and asked == [3, 1]
+    keys = remote.keys([1, 3], 2)
+    assert sorted(keys.keys) == [1, 2]
+    sealed = crypto.seal(spark.createDataFrame([(1, "state")], "id int, state string"), "state", keys)
+    assert crypto.open_sealed(sealed, keys).first().opened == "state"
+    with pytest.raises(RuntimeError, match="500") as e:
+        remote.get(4)
+    assert len(str(e.value)) < 540
+    with pytest.raises(ValueError, match="no key"):
+        remote.keys([1], 3)
