@@ -182,11 +182,11 @@ def similar_classes(pages: DataFrame, text: str = "markdown") -> tuple[DataFrame
     members = materialize(ids.join(ids.groupBy("sig").agg(F.min("result_id").alias("rep")), "sig").select("result_id", "rep"), "neardup-members")
     # representatives are told by what they are not, so that few ids are looked up
     copies = members.where("result_id != rep").select("result_id")
-    sets = without(all_, "result_id", copies)
+    sets = materialize(without(all_.select("result_id", "n", "bands", "sketch"), "result_id", copies), "neardup-keys")
     met = materialize(candidates(sets), "neardup-candidates")
     pairs = materialize(likely(met, sets).distinct(), "neardup-likely")
     paired = materialize(ids.select("result_id", "sig").join(ends(pairs), "result_id", "left_semi"), "neardup-paired")
-    found = narrowed(sets.select("result_id", "sig", "n", "shingles"), "result_id", paired.select("result_id"))
+    found = narrowed(all_.select("result_id", "sig", "n", "shingles"), "result_id", paired.select("result_id"))
     own = materialize(found.join(paired, ["result_id", "sig"], "left_semi").dropDuplicates(["result_id"]), "neardup-kept")
     left = pairs.join(own.select(F.col("result_id").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a")
     both = left.join(own.select(F.col("result_id").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb")), "b")
