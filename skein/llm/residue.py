@@ -130,6 +130,8 @@ SENTENCE = re.compile(r"\n+|(?<=[.!?…。])[ ]+(?=\S)")
 QUOTE_PAIR = re.compile(r'["“„«`‘][^"“”„«»`’\n]{2,80}["”“»`’]')
 MASK = re.compile(r"(?=[0-9a-f]*\d)[0-9a-f]{6,}|/[\w\-/]+|\d+(?:[.,]\d+)*")
 MASKED = re.compile(r"[0-9/]")
+#: The one wording of MESSAGE that holds no stem: a status code with or without its phrase.
+STATUS_CODE = re.compile(r"[1-5]\d\d(?: [\w ]{3,30})?")
 #: A path of links before a sentence.
 TRAIL = re.compile(r"^[^»>/]{1,60}[»>/] .*[»>/] ")
 #: Look-alike letters to Latin, invisible characters to nothing.
@@ -258,11 +260,11 @@ def judge_title(title: str, text: str, host: str = "") -> str | None:
 
 def says(sentence: str) -> bool:
     """Whether a sentence has a known wording of an error message or a demand for scripts; quoted ones are left out."""
-    if not MASKED.search(sentence) and not _says(sentence, STEMS):
-        return False
+    if next(_SCAN[STEMS].iter(sentence.lower()), None) is None:
+        return MASKED.search(sentence) is not None and STATUS_CODE.fullmatch(TRAIL.sub("", sentence)) is not None
     bare = TRAIL.sub("", sentence)
     bare = MASK.sub("#", ID_TAIL.sub("", bare)) if len(bare) > 110 else bare
-    return bool(bare) and _says(bare, STEMS) and MESSAGE.search(QUOTE_PAIR.sub(" ", bare)) is not None
+    return bool(bare) and MESSAGE.search(QUOTE_PAIR.sub(" ", bare)) is not None
 
 
 @lru_cache(maxsize=8192)
@@ -299,14 +301,14 @@ def sentences(title: str, text: str, slug: str, host: str) -> list[tuple[str, in
     """
     parts = TITLE_CUT.split(title.strip())
     head = " ".join(p for i, p in enumerate(parts) if i == 0 or re.sub(r"\W", "", p.lower()) not in host)
-    about, named = {w for w in _terms(slug) if w not in host}, {w for w in _terms(head) if w not in host}
+    about, named = (frozenset(w for w in _terms(x) if w not in host) for x in (slug, head))
     out = []
     for s in SENTENCE.split(text):
         p = s.strip()
         letters = sum(map(str.isalpha, p))
         if letters and ((said := says(p)) or not noise(p)):
-            has = _terms(p)
-            out.append((_masked(p), letters, bool(has & about) + 2 * (bool(has & named) and p.strip(" .!…") not in parts), said))
+            fits = _shares(p, about) + 2 * (_shares(p, named) and p.strip(" .!…") not in parts)
+            out.append((_masked(p), letters, fits, said))
     return out
 
 
@@ -334,6 +336,12 @@ def _terms(text: str) -> frozenset[str]:
     return frozenset(out)
 
 
+def _shares(sentence: str, terms: frozenset[str]) -> bool:
+    """Whether a sentence holds one of terms."""
+    low = sentence.lower()
+    return any(w in low for w in terms) and not terms.isdisjoint(_terms(sentence))
+
+
 def unfit_body(url: str | None, title: str | None, text: str | None, slug: str) -> tuple[str, str | None] | None:
     """(masked sentences, what the address or title is about) of a text of any length whose sentences hold no term of title or slug.
 
@@ -343,10 +351,10 @@ def unfit_body(url: str | None, title: str | None, text: str | None, slug: str)
     host = re.sub(r"[^\w]", "", re.sub(r"^[^/]*//|/.*", "", url or "").lower())
     parts = TITLE_CUT.split((title or "").strip())
     head = " ".join(p for i, p in enumerate(parts) if i == 0 or re.sub(r"\W", "", p.lower()) not in host)
-    named = {w for w in _terms(head) | _terms(slug) if w not in host}
+    named = frozenset(w for w in _terms(head) | _terms(slug) if w not in host)
     split = [p for s in SENTENCE.split(text or "") if (p := s.strip())]
     whole = [p for p in split if p[-1] in ".!?…”»“\"。" and (len(p) >= 40 or UNSPACED.search(p))]
-    if any(named & _terms(p) and not (_says(p, NOISE_STEMS) and NOISE.search(p)) for p in whole):
+    if any(_shares(p, named) and not (_says(p, NOISE_STEMS) and NOISE.search(p)) for p in whole):
         return None
     said = [p for p in whole if not (_says(p, NOISE_STEMS) and NOISE.search(p))] or [p for p in split if not (_says(p, NOISE_STEMS) and NOISE.search(p))]
     if not said or named & _terms(body := " ".join(said)):
