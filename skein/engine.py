@@ -76,7 +76,7 @@ class Engine:
         wanted = todo.select("url").distinct()
 
         def read(pages: DataFrame, of: DataFrame) -> DataFrame:
-            own = stores.fetched(pages.select("url", "final_url", "status_code", "html")).join(of, "url", "left_semi")
+            own = stores.fetched(pages.select("url", "final_url", "status_code", "html").join(of, "url", "left_semi"))
             return own.withColumn("c", H.content(F.col("html"))).select("url", "final_url", "status_code", "html", "c.title", "c.markdown", "c.text")
 
         plain = stores.materialize(read(corpus, wanted), "scrape-plain")
